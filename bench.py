@@ -1,6 +1,6 @@
 """Times the headline queries and prints one JSON line.
 
-Each query is built, run and fully written to the no-op sink; one small query warms the session up.
+Each query is built, run and fully written to the no-op sink; one query before warms the session up.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from verification.registry import QUERIES
+    from verification.registry import QUERIES, staged
 
     spark = build_session(
         "bench",
@@ -56,8 +56,12 @@ def main() -> None:
         QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
         return time.time() - start
 
+    # Deriving and storing the staged contracts is timed on its own; the marts read them.
+    start = time.time()
+    staged(spark, FOLDER)
+    seconds = {"load_staging": round(time.time() - start, 3)}
     run("mart_cost_escalation")
-    seconds = {name: round(run(name), 3) for name in HEADLINE if name in QUERIES}
+    seconds |= {name: round(run(name), 3) for name in HEADLINE}
     print(
         json.dumps(
             {

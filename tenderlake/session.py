@@ -20,6 +20,9 @@ def build_session(app: str = "tenderlake", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
+        # The JVM never compiles a method over 8000 bytes; wide projections reach that, and run
+        # faster as several small generated methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
@@ -63,6 +66,15 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     return saved, saved.count()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table that lies in fewer pieces than there are cores.
+
+    A table in many files keeps its partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = SMALL_ROWS) -> DataFrame:
     """Hint a broadcast only for a counted, small side; otherwise leave the join to AQE."""
     return F.broadcast(df) if rows <= limit else df

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import contract
+from tenderlake.session import spread
 
 # One object text per kind of purchase; the part key picks one.
 OBJECTS = [
@@ -62,11 +63,12 @@ def contracts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     def read(name: str, *columns: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
+    lines = read(
+        "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+    )
     rows = (
-        read(
-            "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-        )
+        spread(lines, "l_orderkey", "l_partkey")
         .join(
             read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"),
             F.col("l_orderkey") == F.col("o_orderkey"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenderlake.functions import rules
 from tenderlake.plans import checks as declared
+from verification import derived as D
 from verification import oracle as O
 from verification.oracle import lit, whole, _with
 from verification.registry import (
@@ -362,3 +363,55 @@ ORACLE: dict[str, str] = {
               or vl_aditado is not null or dt_fim_atual is distinct from dt_fim) v"""
     ),
 }
+
+# Snapshot files: which rows are dirty, and what is found in the object of the others.
+_escaped, _short = "nu_edital = '07'", "nu_edital = '013'"
+_broken, _long = "nu_edital = '021'", "nu_edital = '029'"
+_aside = f"({_short} or {_long})"
+_object = f"""case when {_escaped} then coalesce(ds_objeto, '') || ' disse "oi; tchau" fim'
+  when {_broken} then coalesce(ds_objeto, '') || chr(10) || 'segunda; linha' else ds_objeto end"""
+_width = len(D.contract.RAW_COLUMNS) + len(D.EXTRA)
+_agency = "cod_unidade_gestora, count(*) as qt_contratos, sum(vl_atual) as vl_total_atual"
+
+ORACLE |= {
+    "scan_contracts_csv": _rows(
+        f"""case when not ({_aside} or {_escaped}) then nu_contrato end as nu_contrato,
+        case when not ({_aside} or {_escaped}) then {_object} end as ds_objeto,
+        {_aside} or {_escaped} as fl_malformada"""
+    ),
+    "validate_header": _with(
+        """select 'superset' as cenario, cast(null as varchar) as motivo, count(*) as qt_linhas from stg
+        union all select 'sem_nucontrato', 'missing columns: nucontrato', count(*) from stg"""
+    ),
+    "project_known_columns": _with(
+        f"""select * replace ({_object} as ds_objeto, nullif(nu_processo, '') as nu_processo)
+        from stg where not ({_aside} or {_escaped})"""
+    ),
+    "split_malformed": _with(
+        f"""select case when {_aside} or {_escaped} then 'malformada' else 'ok' end as parte,
+        count(*) as qt_linhas from stg group by 1"""
+    ),
+    "repair_rows": _rows(f"nu_contrato, {_object} as ds_objeto, dias_atuais", where=_escaped),
+    "quarantine_rows": _rows(
+        f"""'contagem de campos: esperado {_width}, obtido ' ||
+        case when {_short} then {_width - len(D.EXTRA)} else {_width + 1} end as motivo, nu_contrato""",
+        where=_aside,
+    ),
+    "ingest_summary": _with(
+        f"""select count(*) as total, count(*) filter (where not ({_aside} or {_escaped})) as ok,
+        count(*) filter (where {_escaped}) as reparadas, count(*) filter (where {_aside}) as quarentena
+        from stg"""
+    ),
+    "ingest_snapshot": _with(f"select {_agency} from stg where not {_aside} group by 1"),
+    "promote_snapshot": _with(f"select {_agency} from stg group by 1"),
+    "incremental_file_trigger": _with(
+        f"select {_agency}, 1 as qt_primeira, 0 as qt_segunda from stg where not {_aside} group by 1"
+    ),
+    "multi_format_source": _rows(
+        """case when dt_inicio < date '1998-01-01' then 'arquivo' else 'corrente' end as fonte,
+        nu_contrato, ds_objeto, nm_modalidade,
+        case when dt_inicio >= date '1998-01-01' then nm_fiscal end as nm_fiscal, vl_original"""
+    ),
+    "write_marts": whole("mart_temporal"),
+    "merge_latest_stream": ORACLE["merge_latest"],
+}

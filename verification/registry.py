@@ -14,15 +14,34 @@ from tenderlake.plans import checks as C
 from tenderlake.plans import marts as M
 from tenderlake.plans import reads as R
 from tenderlake.plans.staging import stg_contracts
+from tenderlake.session import new_folder
+from tenderlake.sources import snapshots as S
+from tenderlake.sources import tables as T
 from tenderlake.sources.orders_view import as_text, contracts_from_orders
+from tenderlake.streaming import incremental
+from verification import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def staged(spark: SparkSession, folder: str) -> DataFrame:
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def fresh_staging(spark: SparkSession, folder: str) -> DataFrame:
     return stg_contracts(contracts_from_orders(spark, folder))
 
 
+def staged(spark: SparkSession, folder: str) -> DataFrame:
+    """Staged contracts, derived from the tables once per session and kept as Parquet, so that each
+    query scans the columns it needs and filters reach the files."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STAGED:
+        path = new_folder(spark, "staging")
+        fresh_staging(spark, folder).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def _spine(spark: SparkSession, folder: str) -> DataFrame:
     return M.date_spine_of(spark.read.parquet(f"{folder}/orders.parquet"), "o_orderdate")
 
@@ -39,7 +58,7 @@ def _columns(**columns: Callable[[], Column]) -> Query:
 
 
 TABLES: dict[str, Query] = {
-    "stg_contracts": _on_stg(lambda s: s),
+    "stg_contracts": fresh_staging,
     "agg_by_agency": _on_stg(A.agg_by_agency),
     "agg_by_supplier": _on_stg(A.agg_by_supplier),
     "agg_by_modality": _on_stg(A.agg_by_modality),
@@ -191,8 +210,151 @@ def _moving(stg: DataFrame) -> DataFrame:
     ).select("cod_unidade_gestora", "ano_assinatura", "mes_assinatura", "vl_media_movel_3anos")
 
 
-def _slim_rank(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns)
+def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    path = D.write_dirty_snapshot(spark, folder)
+    header = S.read_header(spark, path)
+    S.validate_header(header)
+    return S.scan_contracts_csv(spark, path, header), header
+
+
+def _classified(spark: SparkSession, folder: str) -> DataFrame:
+    return S.classify_rows(*_scanned(spark, folder))
+
+
+def _scan(spark: SparkSession, folder: str) -> DataFrame:
+    malformed = F.col("_bad").isNotNull()
+    return _scanned(spark, folder)[0].select(
+        F.when(~malformed, F.col("nucontrato")).alias("nu_contrato"),
+        F.when(~malformed, F.col("objeto")).alias("ds_objeto"),
+        malformed.alias("fl_malformada"),
+    )
+
+
+def _validate(spark: SparkSession, folder: str) -> DataFrame:
+    """A superset header in upper case, and one that lacks the contract number."""
+    text = as_text(contracts_from_orders(spark, folder))
+    outcomes = []
+    for name, df in (("superset", text), ("sem_nucontrato", text.drop("nucontrato"))):
+        path = new_folder(spark, "header")
+        D.write_archive(df, path, ";", "UTF-8", D.EXTRA)
+        header = S.read_header(spark, path)
+        try:
+            S.validate_header(header)
+            missing = None
+        except S.HeaderError as e:
+            missing = str(e)
+        rows = S.scan_contracts_csv(spark, path, header)
+        outcomes.append(
+            rows.agg(F.count(F.lit(1)).alias("qt_linhas")).select(
+                F.lit(name).alias("cenario"), F.lit(missing).cast("string").alias("motivo"), "qt_linhas"
+            )
+        )
+    return outcomes[0].unionByName(outcomes[1])
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    ok, malformed = S.split_malformed(_scanned(spark, folder)[0])
+    parts = [
+        df.select("source_file", F.lit(label).alias("parte"), F.length(F.coalesce("_bad", "nucontrato")))
+        for label, df in (("ok", ok), ("malformada", malformed))
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("parte").agg(F.count(F.lit(1)).alias("qt_linhas"))
+
+
+CONTRACT_NUMBER = r"(\d+-\d+-\d+-\d+-[0-9.]+-\d{4}-\d{2}-\d{2})"
+
+
+def _quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.quarantine_rows(_classified(spark, folder))
+    return rows.select(
+        "motivo", F.regexp_extract("linha_bruta", CONTRACT_NUMBER, 1).alias("nu_contrato")
+    )
+
+
+def _by_agency(contracts: DataFrame) -> DataFrame:
+    stg = stg_contracts(contracts)
+    return stg.groupBy("cod_unidade_gestora").agg(
+        F.count(F.lit(1)).alias("qt_contratos"), F.sum("vl_atual").alias("vl_total_atual")
+    )
+
+
+def _promote(spark: SparkSession, folder: str) -> DataFrame:
+    """A first snapshot of the open contracts, then one of all of them: the second is read."""
+    base = new_folder(spark, "published")
+    raw = contracts_from_orders(spark, folder)
+    T.promote_snapshot(raw.where(F.col("situacao") == "Em execução"), base, "v1")
+    T.promote_snapshot(raw, base, "v2")
+    return _by_agency(T.read_current(spark, base))
+
+
+def _ingest(spark: SparkSession, folder: str) -> DataFrame:
+    base = new_folder(spark, "ingest")
+    T.ingest_snapshot(spark, D.write_dirty_snapshot(spark, folder), base, "v1")
+    return _by_agency(T.read_current(spark, f"{base}/contracts"))
+
+
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs over one landed snapshot; the second finds nothing new."""
+    base, landing = new_folder(spark, "incremental"), new_folder(spark, "landing")
+    D.write_dirty_snapshot(spark, folder, f"{landing}/d1")
+
+    def work(session: SparkSession, path: str, name: str) -> None:
+        T.ingest_snapshot(session, path, base, name)
+
+    runs = [
+        incremental.incremental_file_trigger(spark, landing, f"{base}/checkpoint", work) for _ in range(2)
+    ]
+    return _by_agency(T.read_current(spark, f"{base}/contracts")).withColumns(
+        {"qt_primeira": F.lit(runs[0]), "qt_segunda": F.lit(runs[1])}
+    )
+
+
+ARCHIVE_DROPPED = ["nmfiscal", "resumo"]
+
+
+def _multi_format(spark: SparkSession, folder: str) -> DataFrame:
+    """An older archive in another delimiter, encoding and column set, and a current file."""
+    text = as_text(contracts_from_orders(spark, folder))
+    old = F.col("dtinicio") < "1998"
+    archive, current = new_folder(spark, "archive"), new_folder(spark, "current")
+    D.write_archive(
+        text.where(old).drop(*ARCHIVE_DROPPED), archive, ",", "ISO-8859-1", ["origem", "indice"]
+    )
+    D.write_archive(text.where(~old), current, ";", "UTF-8", D.EXTRA)
+    known = [c for c in S.contract.RAW_COLUMNS if c not in ARCHIVE_DROPPED]
+    merged = S.multi_format_source(
+        spark,
+        {
+            "corrente": (current, S.Format()),
+            "arquivo": (archive, S.Format(sep=",", encoding="ISO-8859-1", known=known)),
+        },
+    )
+    return merged.select(
+        "fonte", F.col("nucontrato").alias("nu_contrato"), F.col("objeto").alias("ds_objeto"),
+        F.col("nmmodalidade").alias("nm_modalidade"), F.col("nmfiscal").alias("nm_fiscal"),
+        F.col("vloriginal").try_cast("decimal(18,2)").alias("vl_original"),
+    )
+
+
+def _write_marts(spark: SparkSession, folder: str) -> DataFrame:
+    stg = staged(spark, folder)
+    written = T.write_marts(
+        {"mart_temporal": M.mart_temporal(stg), "mart_cost_escalation": M.mart_cost_escalation(stg)},
+        new_folder(spark, "marts"),
+        "v1",
+    )
+    return written["mart_temporal"]
+
+
+def _merge_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The first publication and the present state arrive one after the other as a stream."""
+    stg = staged(spark, folder)
+    landing, base = new_folder(spark, "updates"), new_folder(spark, "merged")
+    for df in (_as_signed(stg), _as_now(stg)):
+        df.write.mode("append").parquet(landing)
+        updates = spark.readStream.schema(df.schema).parquet(landing)
+        incremental.merge_stream(updates, base, f"{base}/checkpoint", KEY, ["dt_publicacao"])
+    return T.read_current(spark, base)
 
 
 def _amended() -> Column:
@@ -378,4 +540,22 @@ QUERIES: dict[str, Query] = {
     "source_precedence_merge": _precedence,
     "merge_latest": _on_stg(_merge_latest),
     "history_scd2": _on_stg(_history),
+    "scan_contracts_csv": _scan,
+    "validate_header": _validate,
+    "project_known_columns": lambda spark, folder: stg_contracts(
+        S.project_known_columns(S.split_malformed(_scanned(spark, folder)[0])[0])
+    ),
+    "split_malformed": _split,
+    "repair_rows": lambda spark, folder: S.repair_rows(*_scanned(spark, folder)).select(
+        F.col("nucontrato").alias("nu_contrato"), F.col("objeto").alias("ds_objeto"),
+        F.col("diasatuais").try_cast("int").alias("dias_atuais"),
+    ),
+    "quarantine_rows": _quarantined,
+    "ingest_summary": lambda spark, folder: S.ingest_summary(_classified(spark, folder)),
+    "ingest_snapshot": _ingest,
+    "promote_snapshot": _promote,
+    "incremental_file_trigger": _incremental,
+    "multi_format_source": _multi_format,
+    "write_marts": _write_marts,
+    "merge_latest_stream": _merge_stream,
 }
