@@ -1,30 +1,19 @@
 """Ranks, shares of a total and exact percentiles without ever sorting all rows in one task.
 
 A rank needs, for each value, the number of rows that come before it. Equal values are counted
-together first; the values are then cut into magnitude buckets, a fixed number of them whatever
-the data, so that each bucket is sorted by its own task and only bucket sizes are added up.
+together first, so a value that many rows share is one row. The counted values are then cut into
+ranges of about equal size and written once with the number of their range; each range is sorted by
+its own task, and only the sizes of the ranges are added up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions import measures as M
 from tenderlake.session import SMALL_ROWS, materialize
 
-# Buckets per factor e of magnitude. A decimal(38) spans 88 factors, so at most 45,056 buckets.
-_BUCKETS_PER_E = 256
-_NULL_BUCKET = 1_000_000
-
-
-def _bucket(value: Column) -> Column:
-    """Rises with the value; nulls get a bucket of their own above all others."""
-    number = value.cast("double")
-    size = F.floor(F.log(F.abs(number) + 1) * _BUCKETS_PER_E).cast("int")
-    # A negative number's bucket is moved below those of all numbers from zero up.
-    return F.coalesce(F.when(number < 0, -size - 1).otherwise(size), F.lit(_NULL_BUCKET))
-
 
 def rows_before(
     df: DataFrame, value: str, partition: list[str] | None = None, descending: bool = True
@@ -34,40 +23,40 @@ def rows_before(
     Descending order puts nulls first, ascending order puts them last.
     """
     keys = partition or []
-    per_value = (
-        df.groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", _bucket(F.col(value)))
+    order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_last()
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # Range limits are sampled, so they may differ from one evaluation to the next; writing the
+    # number of the range with the row settles it for everything below.
+    ranged, _ = materialize(
+        counted.repartitionByRange(*[F.col(k).asc() for k in keys], order).withColumn(
+            "_range", F.spark_partition_id()
+        )
     )
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    value_order = F.col(value).desc() if descending else F.col(value).asc()
     earlier = (Window.unboundedPreceding, -1)
     offsets = (
-        per_value.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_bucket_n"))
+        ranged.groupBy(*keys, "_range")
+        .agg(F.sum("_n").alias("_range_n"))
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
-            F.col("_bucket").alias("_offset_bucket"),
+            F.col("_range").alias("_offset_range"),
             F.coalesce(
-                F.sum("_bucket_n").over(
-                    Window.partitionBy(*keys).orderBy(bucket_order).rowsBetween(*earlier)
+                F.sum("_range_n").over(
+                    Window.partitionBy(*keys).orderBy("_range").rowsBetween(*earlier)
                 ),
                 F.lit(0),
             ).alias("_offset"),
         )
     )
     inside = F.coalesce(
-        F.sum("_n").over(
-            Window.partitionBy(*keys, "_bucket").orderBy(value_order).rowsBetween(*earlier)
-        ),
+        F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(*earlier)),
         F.lit(0),
     )
-    same = F.col("_bucket") == F.col("_offset_bucket")
+    same = F.col("_range") == F.col("_offset_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    # Without a partition the offsets are bounded by the number of buckets, so they may be sent whole.
+    # Without a partition there is one offset per shuffle partition, so they may be sent whole.
     offsets = offsets if keys else F.broadcast(offsets)
-    return per_value.withColumn("_inside", inside).join(offsets, same).select(
+    return ranged.withColumn("_inside", inside).join(offsets, same).select(
         *keys, value, "_n", (F.col("_offset") + F.col("_inside")).alias("_before")
     )
 
@@ -164,8 +153,6 @@ def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float]) ->
     Only the values at the wanted positions are picked from the counted values.
     """
     before = rows_before(df.where(F.col(value).isNotNull()), value, descending=False)
-    # The row count has to be known before the wanted positions are.
-    before, _ = materialize(before)
     n = before.select(F.sum("_n").alias("n")).scalar()
     after = F.col("_before") + F.col("_n")
     picked, outputs = [], []

@@ -104,6 +104,6 @@ def test_counted_ranks_sort_no_rows_in_one_task(spark, stg):
 
     plan = plan_of(ranking.rank_by_counting(A.agg_supplier_state(stg), "r", "vl_total_fornecedor_estado"))
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    # Only the bucket sizes meet in one task.
+    # Only the sizes of the ranges meet in one task.
     assert len(single) == 1
     assert "Python" not in plan and "CartesianProduct" not in plan
