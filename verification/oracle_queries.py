@@ -415,3 +415,4 @@ ORACLE |= {
     "write_marts": whole("mart_temporal"),
     "merge_latest_stream": ORACLE["merge_latest"],
 }
+ORACLE["scan_contracts_csv_in_pieces"] = ORACLE["scan_contracts_csv"]

@@ -15,6 +15,7 @@ from tenderlake.plans import marts as M
 from tenderlake.plans import reads as R
 from tenderlake.plans.staging import stg_contracts
 from tenderlake.session import new_folder
+from tenderlake.sources import formats, lines
 from tenderlake.sources import snapshots as S
 from tenderlake.sources import tables as T
 from tenderlake.sources.orders_view import as_text, contracts_from_orders
@@ -222,8 +223,17 @@ def _classified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _scan_result(_scanned(spark, folder)[0])
+
+
+def _scan_in_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    path = D.write_dirty_snapshot(spark, folder)
+    return _scan_result(lines.scan_by_line(spark, path, S.read_header(spark, path)))
+
+
+def _scan_result(scanned: DataFrame) -> DataFrame:
     malformed = F.col("_bad").isNotNull()
-    return _scanned(spark, folder)[0].select(
+    return scanned.select(
         F.when(~malformed, F.col("nucontrato")).alias("nu_contrato"),
         F.when(~malformed, F.col("objeto")).alias("ds_objeto"),
         malformed.alias("fl_malformada"),
@@ -322,7 +332,7 @@ def _multi_format(spark: SparkSession, folder: str) -> DataFrame:
     )
     D.write_archive(text.where(~old), current, ";", "UTF-8", D.EXTRA)
     known = [c for c in S.contract.RAW_COLUMNS if c not in ARCHIVE_DROPPED]
-    merged = S.multi_format_source(
+    merged = formats.multi_format_source(
         spark,
         {
             "corrente": (current, S.Format()),
@@ -541,6 +551,7 @@ QUERIES: dict[str, Query] = {
     "merge_latest": _on_stg(_merge_latest),
     "history_scd2": _on_stg(_history),
     "scan_contracts_csv": _scan,
+    "scan_contracts_csv_in_pieces": _scan_in_pieces,
     "validate_header": _validate,
     "project_known_columns": lambda spark, folder: stg_contracts(
         S.project_known_columns(S.split_malformed(_scanned(spark, folder)[0])[0])
