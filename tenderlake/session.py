@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def build_session(app: str = "tenderlake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@lru_cache
+def _private_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tenderlake-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -42,9 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
+        return _private_folder(spark.sparkContext.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
