@@ -39,7 +39,7 @@ def dirty_lines(text: DataFrame) -> DataFrame:
             cell = _quoted(value)
         fields.append(F.coalesce(cell, F.lit("")))
     known = F.concat_ws(";", *fields)
-    extra = F.lit(";SICOP;;x")
+    extra = F.lit(";origem;;x")
     return text.select(
         F.when(kind == TRUNCATED, known)
         .when(kind == TOO_LONG, F.concat(known, extra, F.lit(";a mais")))

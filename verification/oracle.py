@@ -1,4 +1,4 @@
-"""Reference answers as DuckDB SQL over the same Parquet tables.
+"""Expected answers as DuckDB SQL over the same Parquet tables.
 
 The SQL is written on its own terms (integer division for rounded shares, ``mode`` and ``rank``
 over whole groups) and shares only the fixed values with the library.
