@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import exact_dedup, line_dedup, near_dedup
+from tenderlake.llm import bpe, chat, exact_dedup, licenses, line_dedup, near_dedup, secret_scan
 from tenderlake.llm.store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,34 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_documents(spark, folder))
 
 
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Ranks and pattern of the public tokenizer unless others are given."""
+    import public_tokenizers
+
+    ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_documents(spark, folder), ranks, pattern or public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, folder))
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_documents(spark, folder))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_license_scan": op9_license_scan,
+    "op10_secret_scan": op10_secret_scan,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
