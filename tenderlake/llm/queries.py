@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe, chat, exact_dedup, licenses, line_dedup, near_dedup, secret_scan
+from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, near_dedup, secret_scan, toxicity
 from tenderlake.llm.store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return leaks.drop("h")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, folder), stays="largest")
 
@@ -35,6 +40,21 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held_out = language.held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    held_out = language.held_out(F.col("doc_id"), 3, 1)
+    found = language.identify(docs, language.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Ranks and pattern of the public tokenizer unless others are given."""
     import public_tokenizers
@@ -54,7 +74,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op3_chat_format": op3_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_license_scan": op9_license_scan,
