@@ -33,7 +33,9 @@ LEAST_TEXTS = 4
 LIFT = 8.0
 # Correlation of two voters, given the label, from which on they share a voice.
 CORRELATED = 0.25
-STEPS = 300
+# Least chance that a voter is taken to fire with, whatever the label.
+RAREST = 5e-4
+STEPS = 800
 
 
 def _features(piece: W.Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -110,49 +112,49 @@ def _sample_features(batches: Iterator[pa.RecordBatch], features, voters) -> Ite
 
 @dataclass
 class LabelModel:
-    """What each voter's firing says about the label."""
+    """What each voter's firing says about the label; a voter that does not fire abstains."""
 
     prior: float
     fires_toxic: np.ndarray  # P(fires | toxic)
     fires_other: np.ndarray
-    groups: np.ndarray  # of each voter, how many voices it shares its own with
-    correlated: np.ndarray  # pairs of voters
+    correlation: np.ndarray  # of each two voters given the label, from 0 to 1; 0 on the diagonal
 
     def posterior(self, fired: list[np.ndarray]) -> np.ndarray:
-        """P(toxic) of texts, given the voters that fire in each."""
-        gain = np.log(self.fires_toxic / self.fires_other) / self.groups
-        silence = np.log((1 - self.fires_toxic) / (1 - self.fires_other)) / self.groups
-        base = np.log(self.prior / (1 - self.prior)) + silence.sum()
-        z = np.array([base + (gain - silence)[v].sum() for v in fired])
+        """P(toxic) of texts, given the voters that fire in each; correlated ones share a voice."""
+        gain = np.log(self.fires_toxic / self.fires_other)
+        base = np.log(self.prior / (1 - self.prior))
+        z = np.array([base + (gain[v] / (1 + self.correlation[np.ix_(v, v)].sum(axis=1))).sum() for v in fired])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_label_model(together: np.ndarray, texts: int, prior: float, rounds: int = 5) -> LabelModel:
     """Accuracies and correlations from second moments alone.
 
-    If voters were independent given the label, the covariance of any two would be the product of
-    their strengths. Strengths are fitted to all pairs, pairs far off are taken as correlated and left
-    out, and the fit is repeated.
+    If voters were independent given the label, the covariance of two that can meet would be the
+    product of their strengths. Strengths are fitted to the pairs that meet more often than chance
+    (words of two languages never do, which says nothing about either); pairs far above the fit are
+    taken as correlated and left out, and the fit is repeated.
     """
     n = len(together)
     rate = np.diag(together) / max(texts, 1)
     cov = together / max(texts, 1) - np.outer(rate, rate)
-    off = ~np.eye(n, dtype=bool)
-    strength = np.sqrt(np.maximum((cov * off).sum(axis=1), 1e-12) / max(np.sqrt(max((cov * off).sum(), 1e-12)), 1e-9))
-    used = off.copy()
+    meet = ~np.eye(n, dtype=bool) & (cov > 0)
     scale = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+    strength = np.sqrt(np.maximum((meet * cov).sum(axis=1) / np.maximum(meet.sum(axis=1), 1), 1e-12))
+    used, rest = meet, np.zeros_like(cov)
     for _ in range(rounds):
         for _ in range(50):
             weight = (used * strength[None, :] ** 2).sum(axis=1)
-            strength = np.maximum(np.where(weight > 0, (used * cov * strength[None, :]).sum(axis=1) / np.maximum(weight, 1e-15), strength), 1e-9)
+            fitted = (used * cov * strength[None, :]).sum(axis=1) / np.maximum(weight, 1e-15)
+            strength = np.where(weight > 0, np.maximum(0.5 * strength + 0.5 * fitted, 1e-9), 1e-9)
         rest = (cov - np.outer(strength, strength)) / np.outer(scale, scale)
-        used = off & (np.abs(rest) < CORRELATED)
+        used = meet & (rest < CORRELATED)
     # strength = sqrt(p (1 - p)) * (P(fires | toxic) - P(fires | other))
-    gap = np.minimum(strength / np.sqrt(prior * (1 - prior)), 0.98)
-    toxic = np.clip(rate + (1 - prior) * gap, 1e-4, 1 - 1e-4)
-    other = np.clip(rate - prior * gap, 1e-5, 1 - 1e-4)
-    pairs = np.argwhere(np.triu(off & (rest >= CORRELATED)))
-    return LabelModel(prior, np.maximum(toxic, other * 1.01), other, 1.0 + (off & (rest >= CORRELATED)).sum(axis=1), pairs)
+    gap = np.minimum(strength / np.sqrt(prior * (1 - prior)), rate / prior)
+    toxic = np.clip(rate + (1 - prior) * gap, RAREST, 1 - RAREST)
+    other = np.clip(rate - prior * gap, RAREST, 1 - RAREST)
+    correlation = np.where(meet & (rest >= CORRELATED), np.clip(rest, 0, 1), 0.0)
+    return LabelModel(prior, np.maximum(toxic, other), other, correlation)
 
 
 def fit_linear(features: list[np.ndarray], target: np.ndarray, n: int, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
