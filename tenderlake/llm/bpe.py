@@ -16,6 +16,7 @@ import base64
 import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 from tenderlake.llm.store import id_column, plain_text
 
 # Moves and pieces a task keeps before it starts its tables anew.
-MOVES = 300_000
+MOVES = 100_000
 PIECES = 250_000
+# Times a move is wanted before it is kept; bytes of a piece that is read from its end.
+WANTED = 8
+SHORT = 256
 # Token ids in a batch that goes back to Spark, unless one text has more.
 BATCH_IDS = 1 << 20
 # Beyond any rank.
@@ -70,6 +74,18 @@ class Encoder:
                     self.token.append(None)
                 node = after
             self.token[node] = rank
+        # The trie of reversed tokens, for pieces that are read from their end.
+        self.behind: dict[int, int] = {}
+        self.closes: list[int | None] = [None]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in reversed(token):
+                after = self.behind.get(node << 8 | byte)
+                if after is None:
+                    after = self.behind[node << 8 | byte] = len(self.closes)
+                    self.closes.append(None)
+                node = after
+            self.closes[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.beside: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -162,8 +178,8 @@ class Encoder:
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece. A piece that is a token as a whole is that token, whatever merges give.
 
-        Beyond the moves known so far one more is made and kept; the bytes after it, most of which
-        never come again in this order, run over the hypotheses themselves.
+        A move is made and kept when it is wanted for the WANTED-th time. A piece that comes to a
+        rarer one, most of which never come again, is run over the hypotheses instead.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -171,27 +187,72 @@ class Encoder:
         if len(self.states) > self.moves:
             self.restart()
         state, ids, steps = 0, [], self.steps
-        for at, byte in enumerate(piece):
-            move = steps[state].get(byte)
-            if move is None:
+        for byte in piece:
+            move = steps[state].get(byte, 0)
+            if move.__class__ is int:
+                if move + 1 < WANTED:
+                    steps[state][byte] = move + 1
+                    return self.run(piece)
                 live, emitted = self.advance(self.states[state], byte)
-                steps[state][byte] = (self.number(tuple(live)), emitted)
-                ids.extend(emitted)
-                for later in piece[at + 1 :]:
-                    live, emitted = self.advance(live, later)
-                    if emitted:
-                        ids.extend(emitted)
-                break
+                move = steps[state][byte] = (self.number(tuple(live)), emitted)
             state = move[0]
             if move[1]:
                 ids.extend(move[1])
-        else:
-            live = self.states[state]
+        live = self.states[state]
         if not live or live[-1][1]:
             raise ValueError("a piece has no encoding")
         ids.extend(live[-1][0][1:])
         return tuple(ids)
 
+    def run(self, piece: bytes) -> tuple[int, ...]:
+        """The ids of one piece without kept moves: of each prefix, the token that ends its encoding.
+
+        A short piece is asked from its end, so that only prefixes that matter are looked at."""
+        size, beside = len(piece), self.beside
+        ends: list[int | None] = [None] * (size + 1)
+        ends[0] = -1
+        if size <= SHORT:
+            behind, closes = self.behind, self.closes
+
+            def last(end: int) -> int:
+                node, found = 0, []
+                for at in range(end - 1, -1, -1):
+                    node = behind.get(node << 8 | piece[at])
+                    if node is None:
+                        break
+                    token = closes[node]
+                    if token is not None:
+                        found.append((at, token))
+                for at, token in reversed(found):
+                    before = ends[at]
+                    if before is None:
+                        before = last(at)
+                    fits = beside.get((before, token))
+                    if self.may_stand(before, token) if fits is None else fits:
+                        ends[end] = token
+                        return token
+                raise ValueError("a piece has no encoding")
+
+            if size:
+                last(size)
+        else:
+            children, tokens = self.children, self.token
+            for at in range(size):
+                before, node = ends[at], 0
+                for stop in range(at, size):
+                    node = children[node].get(piece[stop])
+                    if node is None:
+                        break
+                    token = tokens[node]
+                    if token is not None and ends[stop + 1] is None and self.may_stand(before, token):
+                        ends[stop + 1] = token
+        ids, at = [], size
+        while at:
+            ids.append(ends[at])
+            at -= len(self.bytes_of[ends[at]])
+        ids.reverse()
+        return tuple(ids)
+
     def number(self, state: tuple) -> int:
         found = self.numbers.get(state)
         if found is None:
@@ -200,20 +261,23 @@ class Encoder:
             self.steps.append({})
         return found
 
-    def encode(self, pieces: Iterable[str]) -> list[int]:
-        ids: list[int] = []
-        known = self.known
-        for piece in pieces:
-            found = known.get(piece)
-            if found is None:
-                found = self.older.get(piece) or self.piece(piece.encode())
-                if len(known) >= self.limit:
-                    self.older, self.known = known, {}
-                    known = self.known
-                if len(piece) <= 64:
-                    known[piece] = found
-            ids += found
-        return ids
+    def encode(self, pieces: list[str]) -> list[int]:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self.remembered(pieces[at])
+        return list(chain.from_iterable(found))
+
+    def remembered(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that is not among those met lately, or was met earlier in this text."""
+        found = self.known.get(piece) or self.older.get(piece) or self.piece(piece.encode())
+        if len(self.known) >= self.limit:
+            self.older, self.known = self.known, {}
+        if len(piece) <= 64:
+            self.known[piece] = found
+        return found
 
 
 class Decoder:
