@@ -100,12 +100,14 @@ def _token_rows(column: pa.Array) -> np.ndarray:
 
 
 def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a node, over rows sorted by node, that share enough tokens and are not known to be
-    in one component; with ``star`` only those of a node's first row."""
+    """Over rows sorted by node, what of a node shares enough tokens and is not known to be in one
+    component: with ``star`` the pairs (a, b) with the node's first row, else the members (node, rid)
+    of any such pair."""
     rest: tuple[np.ndarray, ...] | None = None
 
     def compare(node, rid, comp, tokens):
         first = np.concatenate([[True], node[1:] != node[:-1]])
+        meets = np.zeros(len(node), dtype=bool)
         for d in range(1, len(node)):
             at = np.flatnonzero(node[d:] == node[:-d])
             if not len(at):
@@ -114,9 +116,12 @@ def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.Recor
                 at = at[first[at]]
             at = at[comp[at] != comp[at + d]]
             at = at[(tokens[at] == tokens[at + d]).sum(axis=1) >= SHARED]
-            if len(at):
+            if star and len(at):
                 a, b = rid[at], rid[at + d]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            meets[at] = meets[at + d] = True
+        if not star:
+            yield pa.RecordBatch.from_arrays([pa.array(node[meets]), pa.array(rid[meets])], names=["node", "rid"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -131,6 +136,47 @@ def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.Recor
         yield from compare(*rest)
 
 
+def _links_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of a node, over rows sorted by node: each pair that shares enough tokens is
+    compared on full sets, unless links found in this node have joined its components meanwhile."""
+
+    def compare(rows: list[tuple[int, int, bytes, np.ndarray]]) -> list[tuple[int, int]]:
+        comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        tokens = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u2").reshape(-1, TOKENS)
+        size = np.array([len(r[3]) for r in rows])
+        links = []
+        for i in range(len(rows) - 1):
+            near = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= SHARED
+            near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
+            for j in np.flatnonzero(near) + i + 1:
+                if comp[i] == comp[j]:
+                    continue
+                a, b = rows[i][3], rows[j][3]
+                at = np.searchsorted(a, b)
+                at[at == len(a)] = 0
+                both = int((a[at] == b).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    links.append((rows[i][0], rows[j][0]))
+                    comp[comp == comp[j]] = comp[i]
+        return links
+
+    now, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        links = compare(rows)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for node, rid, comp, tokens, members in zip(*[batch.column(c).to_pylist() for c in ("node", "rid", "comp", "tokens", "members")], strict=True):
+            if node != now:
+                if len(rows) > 1:
+                    yield done()
+                now, rows = node, []
+            rows.append((rid, comp, tokens, np.frombuffer(members, dtype=np.uint64)))
+    if len(rows) > 1:
+        yield done()
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links, over rows sorted so that each pivot's set stands before its partners'."""
     key, pivot = None, np.empty(0, np.uint64)
@@ -210,10 +256,31 @@ class _Join:
             return rows.withColumn("comp", F.col("rid"))
         return rows.join(self.comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
 
-    def similar(self, rows: DataFrame, star: bool) -> DataFrame:
-        """Candidate pairs within the nodes of ``rows`` (node, rid, comp), each of at most LEAF rows or so."""
-        rows = rows.select("node", "rid", "comp").join(self.tokens, "rid").repartition("node").sortWithinPartitions("node", "rid")
-        return rows.mapInArrow(partial(_similar, star=star), "a bigint, b bigint").distinct()
+    def by_node(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select("node", "rid", "comp").join(self.tokens, "rid")
+        return rows.repartition("node").sortWithinPartitions("node", "rid")
+
+    def stars(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs of the first member of each node of ``rows`` (node, rid, comp)."""
+        return self.by_node(rows).mapInArrow(partial(_similar, star=True), "a bigint, b bigint").distinct()
+
+    def compare(self, rows: DataFrame) -> None:
+        """Compare the members of each node, of at most LEAF or so, and add the links between components."""
+        meets = keep(self.by_node(rows).mapInArrow(partial(_similar, star=False), "node bigint, rid bigint"), "meets")
+        number = meets.count()
+        if not number:
+            return
+        if number <= BROADCAST_ROWS:
+            meets = F.broadcast(meets)
+        full = keep(self.with_components(self.sets.join(meets, "rid").join(self.tokens, "rid")), "meets-sets")
+        full = full.repartition("node").sortWithinPartitions("node", "rid")
+        self.add(full.mapInArrow(partial(_links_within, percent=self.percent), "a bigint, b bigint"))
+
+    def add(self, links: DataFrame) -> None:
+        """Take in links and bring the components up to date."""
+        if self.comp is not None:  # a component stands for its members, each linked with it
+            links = links.unionByName(self.comp.select(F.col("rid").alias("a"), F.col("comp").alias("b")))
+        self.comp = components(links)
 
     def central(self, rows: DataFrame) -> DataFrame:
         """Candidate pairs of each large node's members with the member nearest to its most frequent tokens.
@@ -235,17 +302,14 @@ class _Join:
         counts = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")), "partners")
         dealt = pairs.join(counts, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), (partners + {PARTNERS - 1}) div {PARTNERS})").cast("int").alias("salt"))
         rows = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("rid"))
-        rows = keep(rows.unionByName(rows.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("rid")).distinct()), "dealt")
+        rows = keep(rows.unionByName(dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("rid")).distinct()), "dealt")
         number = rows.count()
         if not number:
             return
         rows = F.broadcast(rows) if number <= BROADCAST_ROWS else rows
         beside = self.sets.join(rows, "rid").select("a", "salt", "role", "rid", "members")
         beside = beside.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-        links = keep(beside.mapInArrow(partial(_confirm, percent=self.percent), "a bigint, b bigint"), "links")
-        if self.comp is not None:  # a component stands for its members, each linked with it
-            links = links.unionByName(self.comp.select(F.col("rid").alias("a"), F.col("comp").alias("b")))
-        self.comp = components(links)
+        self.add(beside.mapInArrow(partial(_confirm, percent=self.percent), "a bigint, b bigint"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -343,13 +407,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     rows = _live(join.with_components(rows))
     small, large = rows.filter(f"n <= {LEAF}"), rows.filter(f"n > {LEAF}")
     has_large = not large.isEmpty()
-    pairs = join.similar(small, star=True)
+    pairs = join.stars(small)
     join.confirm(pairs.unionByName(join.central(large)).distinct() if has_large else pairs)
-    join.confirm(join.similar(_live(join.with_components(small)), star=False))
+    small = _live(join.with_components(small)).select("node", "rid", "comp")
     if has_large:
-        small = keep(_descend(_live(join.with_components(large)).join(join.tokens, "rid")), "leaves")
-        join.confirm(join.similar(small, star=True))
-        join.confirm(join.similar(_live(join.with_components(small)), star=False))
+        small = small.unionByName(_descend(_live(join.with_components(large)).join(join.tokens, "rid")))
+    join.compare(small)
 
     classes = join.with_components(classes.withColumnRenamed("rep", "rid"))
     smallest = classes.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -386,14 +449,16 @@ def _descend(rows: DataFrame) -> DataFrame:
     """Comparisons (node, rid, comp) of bounded size below large nodes: branches, level by level."""
     leaves = []
     for depth in range(DEPTH + 1):
-        small = F.col("n") <= LEAF
-        few = F.col("outside") <= OUTSIDERS
+        small, few = F.col("n") <= LEAF, F.col("outside") <= OUTSIDERS
         leaves.append(rows.filter(small).select("node", "rid", "comp"))
         leaves.append(_in_blocks(rows.filter(~small & (few | F.lit(depth == DEPTH)))))
-        rows = rows.filter(~small & ~few)
-        if depth == DEPTH or rows.isEmpty():
+        if depth == DEPTH:
+            break
+        branches = keep(rows.filter(~small & ~few).mapInArrow(_branch, "node bigint, rid bigint, comp bigint, tokens binary"), "branches")
+        counted = _counted(branches)
+        if counted.isEmpty():
             break
-        rows = _live(keep(rows.mapInArrow(_branch, "node bigint, rid bigint, comp bigint, tokens binary"), "branches"))
+        rows = branches.join(counted, "node")
     return reduce(DataFrame.unionByName, leaves)
 
 
