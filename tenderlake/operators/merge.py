@@ -24,11 +24,13 @@ def merge_latest(
 ) -> DataFrame:
     """Upsert by key, the last write wins; merging the same rows again changes nothing.
 
-    Rows that tie on recency are told apart by their content, so the outcome is always the same.
+    An incoming row wins a tie on recency. Rows of one side that tie are told apart by their content,
+    so the outcome is always the same.
     """
-    both = current.unionByName(incoming)
-    content = F.xxhash64(*sorted(both.columns))
-    return best_per_key(both, key, [*[F.col(c).desc_nulls_last() for c in recency], content.asc()])
+    both = current.withColumn("_incoming", F.lit(False)).unionByName(incoming.withColumn("_incoming", F.lit(True)))
+    content = F.xxhash64(*sorted(current.columns))
+    order = [*[F.col(c).desc_nulls_last() for c in recency], F.col("_incoming").desc(), content.asc()]
+    return best_per_key(both, key, order).drop("_incoming")
 
 
 def source_precedence_merge(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -72,11 +74,12 @@ def history_scd2(
     """Change history after one more snapshot: (key, tracked, valid_from, valid_to).
 
     A row with an open end holds the present state. A key whose tracked columns changed is closed
-    and opened anew; a new key is opened; unchanged and vanished keys stay as they are. Both sides
-    have one row per key, so a hot value cannot pile up in the join.
+    and opened anew; a new key is opened; unchanged and vanished keys stay as they are. Of the rows
+    of a snapshot that repeat a key one is taken, by its content, so a hot value cannot pile up in
+    the join.
     """
     moment = F.to_date(F.lit(taken_at))
-    now = snapshot.select(*key, *tracked)
+    now = best_per_key(snapshot.select(*key, *tracked), key, [F.xxhash64(*tracked).asc(), *[F.col(c).asc() for c in tracked]])
     fresh = now.withColumns({"valid_from": moment, "valid_to": F.lit(None).cast("date")})
     if history is None:
         return fresh

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions import measures, predicates, rules
 
-# The largest answer each read gives.
-TEMPORAL_LIMIT = 100_000
-DIVERSITY_LIMIT = 200_000
-ESCALATION_LIMIT = 150_000
 TOP_DEFAULT = 10
-TOP_MAX = 100
 
 
-def _bounded(limit: int, most: int) -> int:
-    if not 1 <= limit <= most:
-        raise ValueError(f"limit must lie between 1 and {most}")
+def _positive(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     return limit
 
 
+def _limited(df: DataFrame, limit: int | None) -> DataFrame:
+    """The whole answer, unless the caller names a limit."""
+    return df if limit is None else df.limit(_positive(limit))
+
+
 def _ascending(*names: str):
     return [F.col(n).asc_nulls_last() for n in names]
 
@@ -31,7 +31,7 @@ def query_temporal(
     modality: str | None = None,
     first_year: int | None = None,
     last_year: int | None = None,
-    limit: int = TEMPORAL_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     wanted = predicates.equals_given(cod_unidade_gestora=agency, nm_modalidade=modality)
     if first_year is not None:
@@ -41,17 +41,14 @@ def query_temporal(
     order = _ascending(
         "tp_recorte", "ano_assinatura", "mes_assinatura", "cod_unidade_gestora", "nm_modalidade"
     )
-    return mart.where(wanted).orderBy(*order).limit(_bounded(limit, TEMPORAL_LIMIT))
+    return _limited(mart.where(wanted).orderBy(*order), limit)
 
 
 def query_diversity(
-    mart: DataFrame, agency: str | None = None, limit: int = DIVERSITY_LIMIT
+    mart: DataFrame, agency: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    return (
-        mart.where(predicates.equals_given(cod_unidade_gestora=agency))
-        .orderBy(*_ascending("cod_unidade_gestora", "nu_processo"))
-        .limit(_bounded(limit, DIVERSITY_LIMIT))
-    )
+    wanted = mart.where(predicates.equals_given(cod_unidade_gestora=agency))
+    return _limited(wanted.orderBy(*_ascending("cod_unidade_gestora", "nu_processo")), limit)
 
 
 def query_escalation(
@@ -59,23 +56,19 @@ def query_escalation(
     agency: str | None = None,
     modality: str | None = None,
     year: int | None = None,
-    limit: int = ESCALATION_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     wanted = predicates.equals_given(
         cod_unidade_gestora=agency, nm_modalidade=modality, ano_assinatura=year
     )
-    return (
-        mart.where(wanted)
-        .orderBy(*_ascending("cod_unidade_gestora", "nu_contrato"))
-        .limit(_bounded(limit, ESCALATION_LIMIT))
-    )
+    return _limited(mart.where(wanted).orderBy(*_ascending("cod_unidade_gestora", "nu_contrato")), limit)
 
 
 def top_suppliers_agency(mart: DataFrame, agency: str, n: int = TOP_DEFAULT) -> DataFrame:
     return (
         mart.where(F.col("cod_unidade_gestora") == agency)
         .orderBy(*_ascending("rank_no_orgao", "id_contratado"))
-        .limit(_bounded(n, TOP_MAX))
+        .limit(_positive(n))
     )
 
 
@@ -89,7 +82,7 @@ def top_suppliers_state(mart: DataFrame, n: int = TOP_DEFAULT) -> DataFrame:
         *_ascending("rank_estado", "cod_unidade_gestora")
     )
     return (
-        mart.where(F.col("rank_estado") <= _bounded(n, TOP_MAX))
+        mart.where(F.col("rank_estado") <= _positive(n))
         .withColumn("_row", F.row_number().over(one))
         .where(F.col("_row") == 1)
         .drop("_row")

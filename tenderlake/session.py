@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # An aggregate with at most this many rows may be ranked in one task or broadcast.
@@ -58,16 +58,15 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint an aggregate that several branches of a plan read; also return its row count.
+    """Store an aggregate that several branches of a plan read; also return its row count.
 
-    The rows are written once to the shared folder, so the scan behind them is not repeated per
-    branch and a lost executor does not bring it back.
+    The rows are written once to the shared folder as Parquet, so the scan behind them is not
+    repeated, each branch reads its columns only, and a lost executor brings nothing back. The count
+    is observed during that write.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    saved = df.checkpoint(eager=True)
-    return saved, saved.count()
+    path, counted = new_folder(df.sparkSession, "aggregate"), Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), counted.get["rows"]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -18,10 +18,13 @@ def incremental_file_trigger(
     landing: str,
     checkpoint: str,
     work: Callable[[SparkSession, str, str], None],
+    marker: str | None = None,
 ) -> int:
     """Run ``work(spark, folder, name)`` for each snapshot folder under ``landing`` not yet done.
 
-    A snapshot is a folder of files landed under a new name. It counts as done once ``work`` has
+    A snapshot is a folder landed under a new name; any file in it counts, whatever it is called.
+    Where the files of a folder land one after the other, ``marker`` names a file that is written
+    last, with some content: a folder is worked on only once it holds that. It counts as done once ``work`` has
     returned for it: the stream's checkpoint is committed after that, so a failed run is repeated
     and a run without news does nothing. Returns the number of snapshots worked on.
     """
@@ -38,7 +41,7 @@ def incremental_file_trigger(
     query = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
-        .option("pathGlobFilter", "part-*")
+        .option("pathGlobFilter", marker or "*")
         .load(f"{landing}/*")
         .select("path")
         .writeStream.foreachBatch(on_batch)
@@ -55,15 +58,15 @@ def merge_stream(
 ) -> None:
     """Upsert all rows that a stream has for now into the table under ``base``, the last write wins.
 
-    Each batch publishes one new version, named after the batch, so a repeated batch writes the same
-    version again.
+    Each batch publishes one new version, named after the batch; a batch that is repeated after its
+    version was published does nothing.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = f"batch-{batch_id:010d}"
         path = tables.current_version(spark, base)
-        if path is not None and path.endswith(version):
+        if path is not None and tables.is_version(path, version):
             return
         current = spark.read.parquet(path) if path else batch.limit(0)
         tables.promote_snapshot(merge_latest(current, batch, key, recency), base, version)

@@ -169,3 +169,17 @@ def test_key_uniqueness_keeps_parts_apart(spark):
     assert {r.chave: (r.qt_linhas, r.qt_valores, r.qt_duplicadas) for r in got} == {
         "xy": (4, 4, 0), "y": (4, 2, 2),
     }
+
+
+def test_merge_latest_incoming_wins_a_tie(spark):
+    old = spark.createDataFrame([(k, 1, f"old{k}") for k in range(6)], "k int, at int, v string")
+    new = spark.createDataFrame([(k, 1, f"new{k}") for k in range(6)], "k int, at int, v string")
+    merged = merge.merge_latest(old, new, ["k"], ["at"])
+    assert sorted(r.v for r in merged.collect()) == [f"new{k}" for k in range(6)]
+
+
+def test_history_takes_one_row_of_a_repeated_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    once = merge.history_scd2(None, rows, ["k"], ["v"], "2020-01-01")
+    twice = merge.history_scd2(once, rows, ["k"], ["v"], "2020-01-02")
+    assert once.count() == 1 and sorted(twice.collect()) == sorted(once.collect())

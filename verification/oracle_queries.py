@@ -222,7 +222,7 @@ ORACLE: dict[str, str] = {
     ),
     "query_temporal": _with(
         """select * from mart_temporal order by tp_recorte, ano_assinatura, mes_assinatura,
-        cod_unidade_gestora, nm_modalidade limit 100000"""
+        cod_unidade_gestora, nm_modalidade"""
     ),
     "query_temporal_filtered": _rows(
         "*", "mart_temporal",
@@ -232,11 +232,11 @@ ORACLE: dict[str, str] = {
         "*", "mart_temporal", "nm_modalidade = 'Pregão Eletrônico - Lei 10.520'"
     ),
     "query_diversity": _with(
-        "select * from mart_winner_diversity order by cod_unidade_gestora, nu_processo limit 200000"
+        "select * from mart_winner_diversity order by cod_unidade_gestora, nu_processo"
     ),
     "query_diversity_filtered": _rows("*", "mart_winner_diversity", "cod_unidade_gestora = '000003'"),
     "query_escalation": _with(
-        "select * from mart_cost_escalation order by cod_unidade_gestora, nu_contrato limit 150000"
+        "select * from mart_cost_escalation order by cod_unidade_gestora, nu_contrato"
     ),
     "query_escalation_filtered": _rows(
         "*", "mart_cost_escalation",
