@@ -386,6 +386,16 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return ids.mapInArrow(partial(_decode, ranks=ranks), "doc_id bigint, ids array<int>, decoded binary")
 
 
+def _both(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, ranks, pattern), ranks)
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """decode(encode(docs)), row for row, in one Python worker per task: the ids cross to it once."""
+    texts = docs.select(id_column(docs), plain_text().alias("text"))
+    return texts.mapInArrow(partial(_both, ranks=ranks, pattern=pattern), "doc_id bigint, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
     return decoded.select(

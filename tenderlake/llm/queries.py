@@ -60,8 +60,7 @@ def op6_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None, pat
     import public_tokenizers
 
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_documents(spark, folder), ranks, pattern or public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(bpe.round_trip(_documents(spark, folder), ranks, pattern or public_tokenizers.PATTERN))
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -160,8 +160,10 @@ def test_bpe(docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     got = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
+    both = bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()
     want = [(d, known.encode_ordinary(t or ""), (t or "").encode()) for d, t in TEXTS]
-    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=order) == sorted(want, key=order)
+    for rows in (got, both):
+        assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in rows), key=order) == sorted(want, key=order)
     encoder, rng = bpe.Encoder(bpe.read_ranks(path), moves=200, pieces=50), random.Random(1)
     decoder = bpe.Decoder(bpe.read_ranks(path))
     import regex
