@@ -36,6 +36,8 @@ SHORT = 256
 BATCH_IDS = 1 << 20
 # Beyond any rank.
 NEVER = 1 << 62
+# The state before any byte: no token emitted, none open.
+START = (((-1,), 0),)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,6 +66,7 @@ class Encoder:
         # The trie: children of a node by byte, and the token that ends in it.
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
+        self.depth = [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -72,6 +75,7 @@ class Encoder:
                     after = self.children[node][byte] = len(self.children)
                     self.children.append({})
                     self.token.append(None)
+                    self.depth.append(self.depth[node] + 1)
                 node = after
             self.token[node] = rank
         # The trie of reversed tokens, for pieces that are read from their end.
@@ -95,7 +99,7 @@ class Encoder:
     def restart(self) -> None:
         # A state: hypotheses in the order in which their open token began. Each is the tokens not
         # yet emitted, after the last emitted one (-1: none), and the trie node of the open token.
-        self.states: list[tuple] = [(((-1,), 0),)]
+        self.states: list[tuple] = [START]
         self.numbers = {self.states[0]: 0}
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
@@ -179,7 +183,7 @@ class Encoder:
         """The ids of one piece. A piece that is a token as a whole is that token, whatever merges give.
 
         A move is made and kept when it is wanted for the WANTED-th time. A piece that comes to a
-        rarer one, most of which never come again, is run over the hypotheses instead.
+        rarer one, most of which never come again, goes on over that state's hypotheses instead.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -187,12 +191,12 @@ class Encoder:
         if len(self.states) > self.moves:
             self.restart()
         state, ids, steps = 0, [], self.steps
-        for byte in piece:
+        for at, byte in enumerate(piece):
             move = steps[state].get(byte, 0)
             if move.__class__ is int:
                 if move + 1 < WANTED:
                     steps[state][byte] = move + 1
-                    return self.run(piece)
+                    return self.run(piece, at, self.states[state], ids)
                 live, emitted = self.advance(self.states[state], byte)
                 move = steps[state][byte] = (self.number(tuple(live)), emitted)
             state = move[0]
@@ -204,13 +208,18 @@ class Encoder:
         ids.extend(live[-1][0][1:])
         return tuple(ids)
 
-    def run(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one piece without kept moves: of each prefix, the token that ends its encoding.
+    def run(self, piece: bytes, k: int = 0, state: tuple = START, emitted: tuple | list = ()) -> tuple[int, ...]:
+        """The ids of one piece without further kept moves: of each prefix, the token that ends its encoding.
 
-        A short piece is asked from its end, so that only prefixes that matter are looked at."""
-        size, beside = len(piece), self.beside
+        ``state`` and ``emitted`` are what the first k bytes gave: a token that ends beyond k begins
+        where the open token of a hypothesis began, or later. A short piece is asked from its end, so
+        that only prefixes that matter are looked at."""
+        size, beside, depth = len(piece), self.beside, self.depth
         ends: list[int | None] = [None] * (size + 1)
-        ends[0] = -1
+        held_at = {}
+        for held, node in state:
+            ends[k - depth[node]] = held[-1]
+            held_at[k - depth[node]] = held
         if size <= SHORT:
             behind, closes = self.behind, self.closes
 
@@ -221,7 +230,7 @@ class Encoder:
                     if node is None:
                         break
                     token = closes[node]
-                    if token is not None:
+                    if token is not None and (at > k or ends[at] is not None):
                         found.append((at, token))
                 for at, token in reversed(found):
                     before = ends[at]
@@ -233,25 +242,27 @@ class Encoder:
                         return token
                 raise ValueError("a piece has no encoding")
 
-            if size:
+            if size > k:
                 last(size)
         else:
             children, tokens = self.children, self.token
-            for at in range(size):
+            for at in range(min(held_at), size):
                 before, node = ends[at], 0
+                if before is None:
+                    continue
                 for stop in range(at, size):
                     node = children[node].get(piece[stop])
                     if node is None:
                         break
                     token = tokens[node]
-                    if token is not None and ends[stop + 1] is None and self.may_stand(before, token):
+                    if token is not None and stop >= k and ends[stop + 1] is None and self.may_stand(before, token):
                         ends[stop + 1] = token
         ids, at = [], size
-        while at:
+        while at not in held_at:
             ids.append(ends[at])
             at -= len(self.bytes_of[ends[at]])
         ids.reverse()
-        return tuple(ids)
+        return (*emitted, *held_at[at][1:], *ids)
 
     def number(self, state: tuple) -> int:
         found = self.numbers.get(state)
@@ -329,7 +340,9 @@ class Decoder:
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     gc.set_threshold(200_000, 50, 100)  # the tables hold many small objects and no cycles
-    return Encoder(read_ranks(path))
+    encoder = Encoder(read_ranks(path))
+    gc.freeze()
+    return encoder
 
 
 @lru_cache(maxsize=2)
