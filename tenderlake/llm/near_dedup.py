@@ -4,8 +4,9 @@ A document's set is its distinct word shingles. Documents with one set are one c
 stands for it. Every tree starts from a few of the class's minwise tokens; a node holds the classes
 that agree on all tokens of its path. Small nodes are compared exhaustively. A large node is first
 compared with its most central member, which joins dense groups in one pass; if more than one
-component is left in it, it branches on further tokens, chosen by a hash of the node. Trees are
-independent, so their number sets the recall. Every link is confirmed on full sets.
+component is left in it, it branches on CHOICES further tokens, chosen by a hash of the node, so a pair stays
+together in more than one child on average, and its chance of being parted has a bound that holds at
+every depth. Nodes are independent, so their number sets the recall. Every link is confirmed on full sets.
 
 At every step a group has a bound (``LEAF`` classes in a comparison, ``PARTNERS`` members beside a
 pivot), and links of classes that are known to be in one component are not looked for again.
@@ -35,8 +36,8 @@ ROOTS = 12
 # Tokens two documents must share before their full sets are compared: four standard deviations
 # below what a similarity of 0.85 gives.
 SHARED = 43
-# Expected tokens chosen at a node.
-BRANCHES = 1.25
+# Distinct tokens chosen at a node.
+CHOICES = 2
 # Most classes in one exhaustive comparison; most members beside one copy of a pivot.
 LEAF = 1024
 PARTNERS = 256
@@ -197,19 +198,26 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(node: np.ndarray, choices: int) -> np.ndarray:
+    """The distinct tokens on which each node branches: those with the least hashes."""
+    order = W.mix(node[:, None] ^ (np.arange(TOKENS, dtype=np.uint64) * np.uint64(0x10001) + np.uint64(0x9E37)))
+    return np.argpartition(order, choices - 1, axis=1)[:, :choices]
+
+
+def _branch(batches: Iterator[pa.RecordBatch], choices: int = CHOICES) -> Iterator[pa.RecordBatch]:
     """The children of each row's node that the row is in: one per token chosen at the node."""
-    limit = np.uint64(int(BRANCHES / TOKENS * (1 << 32)))
     for batch in batches:
+        if not batch.num_rows:
+            continue
         node = batch.column("node").to_numpy().view(np.uint64)
-        tokens = _token_rows(batch.column("tokens")) if len(node) else np.empty((0, TOKENS), np.uint16)
-        for i in range(TOKENS):
-            seed = W.mix(node ^ np.uint64(0x9E37 + i * 0x10001))
-            at = np.flatnonzero((seed >> np.uint64(32)) < limit)
-            if len(at):
-                child = W.mix(seed[at] + tokens[at, i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                rest = [batch.column(c).take(pa.array(at)) for c in ("rid", "comp", "tokens")]
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest], names=["node", "rid", "comp", "tokens"])
+        tokens = _token_rows(batch.column("tokens"))
+        nodes, at = np.unique(node, return_inverse=True)
+        chosen = _chosen(nodes, choices)[at]
+        rest = [batch.column(c) for c in ("rid", "comp", "tokens")]
+        for i in chosen.T:
+            seed = W.mix(node ^ (i.astype(np.uint64) * np.uint64(0x10001) + np.uint64(0x9E37)))
+            child = W.mix(seed + tokens[np.arange(len(node)), i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest], names=["node", "rid", "comp", "tokens"])
 
 
 def _scrambled(x: Column) -> Column:

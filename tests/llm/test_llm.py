@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,23 @@ def test_near_groups(spark, docs):
     assert near_dedup.near_groups(frame.limit(0)).count() == 0
 
 
+def test_near_groups_below_large_nodes(spark, monkeypatch):
+    """Templated pages, each with one near copy: no node is lost however often it branches."""
+    node = np.arange(3000, dtype=np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), pa.array(node), pa.array([bytes(2 * near_dedup.TOKENS)] * 3000, pa.binary())], names=["node", "rid", "comp", "tokens"])
+    children = np.concatenate([b.column("rid").to_numpy() for b in near_dedup._branch(iter([rows]))])
+    assert (np.bincount(children, minlength=3000) == near_dedup.CHOICES).all()
+
+    monkeypatch.setattr(near_dedup, "LEAF", 12)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 2)
+    rows = []
+    for k in range(30):
+        page = [f"t{i}" for i in range(100)] + [f"p{k}w{i}" for i in range(45)]
+        rows += [(2 * k, " ".join(page)), (2 * k + 1, " ".join([*page[:50], "x", *page[51:99], "y", *page[99:]]))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
 def test_exact_groups(docs):
     for side, best in (("largest", max), ("smallest", min)):
         got = exact_dedup.exact_groups(docs, side, bits=1).collect()
