@@ -15,7 +15,9 @@ pivot), and links of classes that are known to be in one component are not looke
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,13 @@ from tenderlake.llm.store import id_column, keep, plain_text
 SHINGLE = 5
 # A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-TREES = 10
-# Minwise tokens per document, kept as 16 bits each; the first ROOTS start the trees.
+# Minwise tokens per document, kept as 16 bits each; the first of them start the trees.
 TOKENS = 64
+# A link at the threshold may be missed with this chance because too few tokens agree, and with a
+# tenth of it because every tree parts it.
+MISS = 1e-4
+# Least number of trees, and of distinct tokens chosen at a node; lower thresholds need more.
 ROOTS = 12
-# Tokens two documents must share before their full sets are compared: four standard deviations
-# below what a similarity of 0.85 gives.
-SHARED = 43
-# Distinct tokens chosen at a node.
 CHOICES = 2
 # Most classes in one exhaustive comparison; most members beside one copy of a pivot.
 LEAF = 1024
@@ -51,15 +52,59 @@ DEPTH = 6
 BROADCAST_ROWS = 500_000
 
 
+class Search(NamedTuple):
+    """Trees, tokens chosen at a node, tokens two documents must share before their full sets are compared."""
+
+    roots: int
+    choices: int
+    shared: int
+
+
+def _parted(agree: int, choices: int) -> float:
+    """The chance that a pair with so many agreeing tokens is parted below a node within DEPTH levels."""
+    ways = [comb(agree, k) * comb(TOKENS - agree, choices - k) / comb(TOKENS, choices) for k in range(choices + 1)]
+    parted = 0.0
+    for _ in range(DEPTH):
+        parted = sum(w * parted**k for k, w in enumerate(ways))
+    return parted
+
+
+def trees_miss(similarity: float, roots: int, choices: int) -> float:
+    """The chance that every tree parts a pair within DEPTH levels; fewer levels part it less often."""
+    miss = 0.0
+    for agree in range(TOKENS + 1):
+        parted = _parted(agree, choices)
+        meets = [comb(agree, k) * comb(TOKENS - agree, roots - k) / comb(TOKENS, roots) for k in range(roots + 1)]
+        miss += comb(TOKENS, agree) * similarity**agree * (1 - similarity) ** (TOKENS - agree) * sum(m * parted**k for k, m in enumerate(meets))
+    return miss
+
+
+def tokens_miss(similarity: float, shared: int) -> float:
+    """The chance that fewer than ``shared`` tokens of a pair agree."""
+    return sum(comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in range(shared))
+
+
+@lru_cache
+def search(percent: int) -> Search:
+    """The least search that keeps a link at the threshold within MISS. Thresholds too low for tokens
+    have no trees: all classes are then compared block by block."""
+    similarity = percent / 100
+    for choices in range(CHOICES, 6):
+        for roots in range(ROOTS, TOKENS + 1, 4):
+            if trees_miss(similarity, roots, choices) <= MISS / 10:
+                shared = max(k for k in range(TOKENS + 1) if tokens_miss(similarity, k) <= MISS)
+                return Search(roots, choices, shared)
+    return Search(0, 0, 0)
+
+
 def _token_tables() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.Generator(np.random.PCG64(20240229))
     return (random.integers(0, 1 << 32, TOKENS, dtype=np.uint32), random.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], n: int, roots: int = ROOTS) -> Iterator[pa.RecordBatch]:
     """Set size, two hashes of the set, minwise tokens and the nodes below the roots."""
     flip, factor = _token_tables()
-    tree = np.arange(ROOTS, dtype=np.uint64) % np.uint64(TREES)
     for piece in W.pieces(batches, "text", W.NOT_SPACE):
         values, begin = W.shingle_sets(piece, n)
         size = np.diff(begin)
@@ -73,7 +118,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 tokens[some, i] = np.minimum.reduceat((narrow ^ flip[i]) * factor[i], starts)
             sums[0][some] = np.add.reduceat(W.mix(values), starts)
             sums[1][some] = np.add.reduceat(W.mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-        nodes = W.mix(tokens[:, :ROOTS].astype(np.uint64) * np.uint64(4096) + np.arange(ROOTS, dtype=np.uint64) * np.uint64(64) + tree)
+        nodes = W.mix(tokens[:, :roots].astype(np.uint64) * np.uint64(4096) + np.arange(roots, dtype=np.uint64)) if roots else np.zeros((len(size), 1), dtype=np.uint64)
         bits = (tokens & np.uint32(0xFFFF)).astype("<u2")
         yield pa.RecordBatch.from_arrays(
             [
@@ -83,7 +128,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 pa.array(sums[0].view(np.int64)),
                 pa.array(sums[1].view(np.int64)),
                 pa.array([row.tobytes() for row in bits], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, ROOTS, dtype=np.int32)), pa.array(nodes.ravel().view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, nodes.shape[1], dtype=np.int32)), pa.array(nodes.ravel().view(np.int64))),
             ],
             names=["doc_id", "h", "n", "c1", "c2", "tokens", "nodes"],
         )
@@ -100,7 +145,7 @@ def _token_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, TOKENS)
 
 
-def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch], star: bool, least: int) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by node, what of a node shares enough tokens and is not known to be in one
     component: with ``star`` the pairs (a, b) with the node's first row, else the members (node, rid)
     of any such pair."""
@@ -116,7 +161,7 @@ def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.Recor
             if star:
                 at = at[first[at]]
             at = at[comp[at] != comp[at + d]]
-            at = at[(tokens[at] == tokens[at + d]).sum(axis=1) >= SHARED]
+            at = at[(tokens[at] == tokens[at + d]).sum(axis=1) >= least]
             if star and len(at):
                 a, b = rid[at], rid[at + d]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -137,7 +182,7 @@ def _similar(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.Recor
         yield from compare(*rest)
 
 
-def _links_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _links_within(batches: Iterator[pa.RecordBatch], percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """Confirmed links of a node, over rows sorted by node: each pair that shares enough tokens is
     compared on full sets, unless links found in this node have joined its components meanwhile."""
 
@@ -147,7 +192,7 @@ def _links_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         size = np.array([len(r[3]) for r in rows])
         links = []
         for i in range(len(rows) - 1):
-            near = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= SHARED
+            near = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
             near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
             for j in np.flatnonzero(near) + i + 1:
                 if comp[i] == comp[j]:
@@ -256,6 +301,7 @@ class _Join:
 
     def __init__(self, reps: DataFrame, sets: DataFrame, percent: int):
         self.tokens, self.sets, self.percent = reps.select("rid", "tokens"), sets, percent
+        self.search = search(percent)
         self.comp: DataFrame | None = None
 
     def with_components(self, rows: DataFrame) -> DataFrame:
@@ -270,11 +316,11 @@ class _Join:
 
     def stars(self, rows: DataFrame) -> DataFrame:
         """Candidate pairs of the first member of each node of ``rows`` (node, rid, comp)."""
-        return self.by_node(rows).mapInArrow(partial(_similar, star=True), "a bigint, b bigint").distinct()
+        return self.by_node(rows).mapInArrow(partial(_similar, star=True, least=self.search.shared), "a bigint, b bigint").distinct()
 
     def compare(self, rows: DataFrame) -> None:
         """Compare the members of each node, of at most LEAF or so, and add the links between components."""
-        meets = keep(self.by_node(rows).mapInArrow(partial(_similar, star=False), "node bigint, rid bigint"), "meets")
+        meets = keep(self.by_node(rows).mapInArrow(partial(_similar, star=False, least=self.search.shared), "node bigint, rid bigint"), "meets")
         number = meets.count()
         if not number:
             return
@@ -282,7 +328,7 @@ class _Join:
             meets = F.broadcast(meets)
         full = keep(self.with_components(self.sets.join(meets, "rid").join(self.tokens, "rid")), "meets-sets")
         full = full.repartition("node").sortWithinPartitions("node", "rid")
-        self.add(full.mapInArrow(partial(_links_within, percent=self.percent), "a bigint, b bigint"))
+        self.add(full.mapInArrow(partial(_links_within, percent=self.percent, least=self.search.shared), "a bigint, b bigint"))
 
     def add(self, links: DataFrame) -> None:
         """Take in links and bring the components up to date."""
@@ -302,7 +348,7 @@ class _Join:
         pivot = near.groupBy("node").agg(F.max(F.struct("shared", "rid", "comp", "tokens")).alias("pivot"))
         pivot = keep(pivot.select("node", "pivot.*").withColumnsRenamed({"rid": "pivot", "comp": "pivot_comp", "tokens": "pivot_tokens"}).drop("shared"), "pivots")
         both = near.join(pivot, "node").filter("rid <> pivot and comp <> pivot_comp")
-        return both.mapInArrow(_close_to_pivot, "a bigint, b bigint").distinct()
+        return both.mapInArrow(partial(_close_to_pivot, least=self.search.shared), "a bigint, b bigint").distinct()
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of pairs; add the links and bring the components up to date."""
@@ -357,10 +403,10 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rid", "comp", "tokens")], pa.array(shared.astype(np.int64))], names=["node", "rid", "comp", "tokens", "shared"])
 
 
-def _close_to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close_to_pivot(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            at = np.flatnonzero((_token_rows(batch.column("tokens")) == _token_rows(batch.column("pivot_tokens"))).sum(axis=1) >= SHARED)
+            at = np.flatnonzero((_token_rows(batch.column("tokens")) == _token_rows(batch.column("pivot_tokens"))).sum(axis=1) >= least)
             a, b = batch.column("pivot").to_numpy()[at], batch.column("rid").to_numpy()[at]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -391,11 +437,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     with nothing and is its own component. A null doc_id counts after all others, and a component
     of nulls alone has the component_id null. Repeated rows are one class. Other columns are not
     read. An empty table gives no rows.
+
+    A link at ``percent`` is missed with a chance of 1.1 * MISS at most, a closer one with less; see
+    search() for what follows from ``percent``.
     """
     text = plain_text()
     source = docs.select(id_column(docs), F.xxhash64(text).alias("h"), text.alias("text"))
     schema = "doc_id bigint, h bigint, n bigint, c1 bigint, c2 bigint, tokens binary, nodes array<bigint>"
-    sketch = source.mapInArrow(partial(_sketch, n=shingle), schema).withColumn("rid", _scrambled(F.monotonically_increasing_id()))
+    sketch = source.mapInArrow(partial(_sketch, n=shingle, roots=search(percent).roots), schema).withColumn("rid", _scrambled(F.monotonically_increasing_id()))
     sketch = keep(sketch, "sketches")
     same_set = ["c1", "c2", "n"]
     classes = keep(sketch.filter("n > 0").groupBy(*same_set).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("doc")), "classes")
@@ -419,7 +468,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     join.confirm(pairs.unionByName(join.central(large)).distinct() if has_large else pairs)
     small = _live(join.with_components(small)).select("node", "rid", "comp")
     if has_large:
-        small = small.unionByName(_descend(_live(join.with_components(large)).join(join.tokens, "rid")))
+        small = small.unionByName(_descend(_live(join.with_components(large)).join(join.tokens, "rid"), join.search.choices))
     join.compare(small)
 
     classes = join.with_components(classes.withColumnRenamed("rep", "rid"))
@@ -453,16 +502,16 @@ def _live(rows: DataFrame) -> DataFrame:
     return keep(rows.join(_counted(rows), "node"), "live")
 
 
-def _descend(rows: DataFrame) -> DataFrame:
+def _descend(rows: DataFrame, choices: int) -> DataFrame:
     """Comparisons (node, rid, comp) of bounded size below large nodes: branches, level by level."""
-    leaves = []
-    for depth in range(DEPTH + 1):
+    leaves, last = [], DEPTH if choices else 0
+    for depth in range(last + 1):
         small, few = F.col("n") <= LEAF, F.col("outside") <= OUTSIDERS
         leaves.append(rows.filter(small).select("node", "rid", "comp"))
-        leaves.append(_in_blocks(rows.filter(~small & (few | F.lit(depth == DEPTH)))))
-        if depth == DEPTH:
+        leaves.append(_in_blocks(rows.filter(~small & (few | F.lit(depth == last)))))
+        if depth == last:
             break
-        branches = keep(rows.filter(~small & ~few).mapInArrow(_branch, "node bigint, rid bigint, comp bigint, tokens binary"), "branches")
+        branches = keep(rows.filter(~small & ~few).mapInArrow(partial(_branch, choices=choices), "node bigint, rid bigint, comp bigint, tokens binary"), "branches")
         counted = _counted(branches)
         if counted.isEmpty():
             break

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, near_dedup, secret_scan, toxicity
 from tenderlake.llm import words as W
 
@@ -89,6 +90,24 @@ def test_near_groups_below_large_nodes(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_near_groups_follow_percent(spark):
+    for percent in (95, 85, 80, 70, 50):
+        found = near_dedup.search(percent)
+        assert near_dedup.tokens_miss(percent / 100, found.shared) <= near_dedup.MISS
+        assert near_dedup.trees_miss(percent / 100, found.roots, found.choices) <= near_dedup.MISS / 10
+    assert near_dedup.search(10).roots == 0
+    rows = []
+    for k in range(30):  # similarities of 68 / 132, and for the last pair 90 / 110
+        same = 72 if k < 29 else 94
+        rows += [(2 * k + j, " ".join([f"p{k}w{i}" for i in range(same)] + [f"p{k}x{j}w{i}" for i in range(104 - same)]), "s") for j in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for percent in (50, 10):
+        got = near_dedup.near_groups(frame, percent=percent).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(d, d - d % 2) for d in range(60)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(59))
+
+
 def test_exact_groups(docs):
     for side, best in (("largest", max), ("smallest", min)):
         got = exact_dedup.exact_groups(docs, side, bits=1).collect()
