@@ -274,6 +274,17 @@ def test_toxicity(spark, docs):
     assert toxicity.drop_toxic(docs.limit(0), labelled).count() == 0
 
 
+def test_language_keeps_rare_grams(spark):
+    """A small language beside one of more than two million grams, nearly all met once."""
+    rng = np.random.default_rng(5)
+    rows = [(k, "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 105_000))), "zz") for k in range(20)] + [(100, "kleine Sprache", "aa")]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["aa", "zz"]
+    assert len(model.keys[4]) > 2_000_000
+    entropy, _ = model.entropies(["kleine Sprache"])
+    assert entropy.argmin() == 0
+
+
 def test_language(spark, docs):
     rng = random.Random(13)
     parts = {"aa": ["the", "ing", "ou"], "bb": ["öß", "ung", "sch"], "cc": ["語日", "本中"]}
