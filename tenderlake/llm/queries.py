@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, near_dedup, secret_scan, toxicity
+from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, near_dedup, quality, secret_scan, toxicity
 from tenderlake.llm.store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,12 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    rated = quality.rate(docs, quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    return rated.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scan": op10_secret_scan,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
