@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, merkle, near_dedup, quality, secret_scan, toxicity
+from tenderlake.llm import bpe, chat, decontaminate, exact_dedup, language, licenses, line_dedup, merkle, near_dedup, quality, repair, secret_scan, toxicity
 from tenderlake.llm.store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,11 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_score")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return repair.repair(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(_documents(spark, folder))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
