@@ -38,6 +38,9 @@ REPEAT_PERCENT = 30
 BUCKETS = 1 << 18
 ALPHA = 0.5
 THRESHOLD = -0.6
+# Bits and hashes of the Bloom filter of target ids: 8 MB whatever the number of labels.
+FILTER_BITS = 1 << 26
+FILTER_HASHES = 3
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -90,26 +93,71 @@ def cells(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per batch, the cells met and how often."""
+    """The cells met in a task's texts and how often: one row per cell met, once per task."""
+    total = np.zeros(buckets, dtype=np.int64)
     for batch in batches:
-        total = np.zeros(buckets, dtype=np.int64)
         for text in batch.column("text").to_pylist():
             total += np.bincount(cells(text, buckets), minlength=buckets)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["cell", "n"])
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["cell", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> np.ndarray:
+def _probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bit positions of each identifier in a Bloom filter of ``bits`` bits."""
+    out = []
+    for k in range(FILTER_HASHES):
+        h = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((k * 0x94D049BB133111EB + 1) % (1 << 64))
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out.append(h % np.uint64(bits))
+    return out
+
+
+def _id_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    for batch in batches:
+        ids = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+        for pos in _probes(ids, bits):
+            np.bitwise_or.at(words, (pos >> np.uint64(6)).astype(np.int64), np.uint64(1) << (pos & np.uint64(63)))
+    met = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(words[met].view(np.int64))], names=["word", "bits"])
+
+
+def _maybe_target(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    words = shared.value
+    bits = len(words) * 64
+    for batch in batches:
+        ids = batch.column("doc_id")
+        valid = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
+        hit = valid.copy()
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for pos in _probes(values, bits):
+            hit &= (words[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1
+        yield batch.filter(pa.array(hit))
+
+
+def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, filter_bits: int = FILTER_BITS) -> np.ndarray:
     """The log ratio of every cell: target (documents with a label ``quality = 1``) against all documents.
 
-    Counts come from every row of ``docs``, summed by cell with a partial aggregate per task; a label
-    row whose doc_id is in no document adds nothing. Null texts have no grams. With no target gram
-    the ratio is the same in every cell. What reaches the driver is one row per cell met, so at most
-    ``buckets`` rows.
+    Counts come from every row of ``docs``, summed by cell once per task; a label row whose doc_id is
+    in no document adds nothing. Null texts have no grams. With no target gram the ratio is the same
+    in every cell. What reaches the driver is one row per cell met, so at most ``buckets`` rows.
+
+    Texts are not shuffled to find the target: a Bloom filter of the target ids (``filter_bits``
+    bits, whatever the number of labels) lets through the target and a share of false positives,
+    and only those rows meet the exact semi-join with the ids.
     """
+    spark = docs.sparkSession
     target_ids = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    target = raw.join(target_ids, "doc_id", "left_semi")
+    marks = target_ids.mapInArrow(lambda it: _id_bits(it, filter_bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(filter_bits // 64, dtype=np.uint64)
+    for batch in marks.toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(words)
+    candidates = raw.mapInArrow(lambda it: _maybe_target(it, shared), raw.schema)
+    target = candidates.join(target_ids, "doc_id", "left_semi")
 
     def counts(frame: DataFrame) -> np.ndarray:
         met = frame.select("text").mapInArrow(lambda it: _counts(it, buckets), "cell int, n bigint")
