@@ -4,7 +4,7 @@ Leaves are the SHA-256 of a row's fields. Per ``lang`` the leaves stand in doc_i
 of 8 nodes becomes the hash of their hex digests joined, level by level, until one node, the
 subroot, is left; the subroots in ``lang`` order give the root the same way.
 
-The leaves of a lang are dealt into blocks: aligned subtrees of ``8 ** block_levels`` leaves, so a
+The leaves of a lang are dealt into blocks: aligned subtrees of ``8 ** block_levels`` leaves (512), so a
 hot lang is spread over many blocks of a bounded size. Each block (one group of an
 ``applyInPandas``) derives its own interior nodes and the part of every proof inside it. The nodes
 its leaves miss are the same for all of them: the siblings of the block's root on the way up. The
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from tenderlake.llm.store import keep
 
 FANOUT = 8
-BLOCK_LEVELS = 4
+BLOCK_LEVELS = 3
 DIGEST = 64
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
