@@ -9,8 +9,8 @@ its end, which gives each block's cost to go. To trace, every block is expanded
 its stored vector, and the script is read forward, taking at each step the smallest edit initial
 that stays on a cheapest path, so ties give the ASCII-least audit.
 
-Each conversation is one group of an ``applyInPandas``; its rows are damaged, ordered and judged
-there. The rows of one conversation are held by one task; a conversation is a unit like a document.
+Rows are damaged by built-in expressions and gathered per conversation; each conversation is
+ordered and judged in Python over Arrow batches of conversations. The rows of one conversation are held by one task; a conversation is a unit like a document.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,23 +163,21 @@ SCHEMA = (
 )
 
 
-def _conversation(frame: pd.DataFrame) -> pd.DataFrame:
-    conv_id = frame["conv_id"].iat[0]
-    live = frame[frame["damage"] != 0].copy()
-    live["text"] = [
-        "" if d == 1 else (re.sub(r"[.!?]", "", t) if d == 2 else t) for d, t in zip(live["damage"], live["text"])
-    ]
-    live["role"] = ["user" if d == 4 else r for d, r in zip(live["damage"], live["role"])]
-    live = pd.concat([live, live[live["damage"] == 3]])
-    live["null_turn"] = live["turn"].isna()
-    live["turn_key"] = live["turn"].fillna(0)
-    live["role_b"] = live["role"].map(lambda r: r.encode())
-    live["text_b"] = live["text"].map(lambda t: t.encode())
-    live = live.sort_values(["null_turn", "turn_key", "role_b", "text_b"], ascending=[False, True, True, True], kind="stable")
-    turns = live["turn"].dropna()
-    gaps = int(turns.max() - turns.min() + 1 - turns.nunique()) if len(turns) else 0
+def judge(conv_id, rows: list[dict]) -> tuple:
+    """The result row of one conversation from its rows (turn, role, text, damage)."""
+    live = []
+    for row in rows:
+        d, role, text = row["damage"], row["role"], row["text"]
+        if d == 0:
+            continue
+        text = "" if d == 1 else (re.sub(r"[.!?]", "", text) if d == 2 else text)
+        role = "user" if d == 4 else role
+        live += [(row["turn"], role, text)] * (2 if d == 3 else 1)
+    live.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1].encode(), r[2].encode()))
+    turns = {r[0] for r in live if r[0] is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
     seen, symbols, faults = set(), [], {"blank": 0, "duplicate": 0, "truncated": 0}
-    roles, texts = live["role"].tolist(), live["text"].tolist()
+    roles, texts = [r[1] for r in live], [r[2] for r in live]
     for role, text in zip(roles, texts):
         initial = role[:1]
         code = 1 + 2 * (INITIALS.index(initial) if initial and initial in INITIALS else 3)
@@ -195,12 +193,22 @@ def _conversation(frame: pd.DataFrame) -> pd.DataFrame:
         else:
             symbols.append(code)
         seen.add((role, text))
-    illegal = sum(1 for a, b in zip(roles, roles[1:]) if a[:1] + b[:1] not in LEGAL)
+    illegal = sum(1 for x, y in zip(roles, roles[1:]) if x[:1] + y[:1] not in LEGAL)
     cost, audit, out = trace(symbols)
     lines = [f"{roles[i] if edit == 'K' else ROLE_OF[state]}:{'' if i is None else texts[i]}" for edit, i, state in out]
     digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    row = {"conv_id": conv_id, "gaps": gaps, **faults, "illegal": illegal, "cost": cost, "audit": audit, "repaired_sha256": digest}
-    return pd.DataFrame([row]).astype({"conv_id": "Int64"})
+    return (conv_id, gaps, faults["blank"], faults["duplicate"], faults["truncated"], illegal, cost, audit, digest)
+
+
+NAMES = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+TYPES = [pa.int64()] * 7 + [pa.string(), pa.string()]
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [judge(c, rows) for c, rows in zip(batch.column("conv_id").to_pylist(), batch.column("rows").to_pylist())]
+        columns = list(zip(*found)) if found else [[] for _ in NAMES]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, TYPES)], names=NAMES)
 
 
 def damage(conversations: DataFrame) -> DataFrame:
@@ -225,4 +233,5 @@ def repair(conversations: DataFrame) -> DataFrame:
     with no rows left has zeros, an empty audit and the hash of the empty string. Other columns are
     not read; an empty table gives no rows.
     """
-    return damage(conversations).groupBy("conv_id").applyInPandas(_conversation, SCHEMA)
+    rows = F.collect_list(F.struct("turn", "role", "text", "damage")).alias("rows")
+    return damage(conversations).groupBy("conv_id").agg(rows).mapInArrow(_judged, SCHEMA)
