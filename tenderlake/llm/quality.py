@@ -92,14 +92,23 @@ def cells(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([hashes, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The cells met in a task's texts and how often: one row per cell met, once per task."""
-    total = np.zeros(buckets, dtype=np.int64)
+def _counts(batches: Iterator[pa.RecordBatch], buckets: int, shared=None) -> Iterator[pa.RecordBatch]:
+    """The cells met in a task's texts and how often, once per task: kind 0 counts every text, kind 1
+    those whose doc_id passes the Bloom filter ``shared`` (if given)."""
+    words = shared.value if shared is not None else None
+    total = np.zeros((2, buckets), dtype=np.int64)
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            total += np.bincount(cells(text, buckets), minlength=buckets)
-    met = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["cell", "n"])
+        hits = _passes(batch.column("doc_id"), words) if words is not None else np.zeros(batch.num_rows, dtype=bool)
+        for text, hit in zip(batch.column("text").to_pylist(), hits):
+            found = np.bincount(cells(text, buckets), minlength=buckets)
+            total[0] += found
+            if hit:
+                total[1] += found
+    for kind in (0, 1):
+        met = np.flatnonzero(total[kind])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(met.size, kind, dtype=np.int8)), pa.array(met.astype(np.int32)), pa.array(total[kind][met])], names=["kind", "cell", "n"]
+        )
 
 
 def _probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -124,17 +133,29 @@ def _id_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(words[met].view(np.int64))], names=["word", "bits"])
 
 
+def _passes(ids: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Which identifiers the Bloom filter ``words`` lets through; never a null one."""
+    bits = len(words) * 64
+    hit = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
+    values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    for pos in _probes(values, bits):
+        hit &= (words[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 def _maybe_target(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     words = shared.value
-    bits = len(words) * 64
     for batch in batches:
-        ids = batch.column("doc_id")
-        valid = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
-        hit = valid.copy()
-        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for pos in _probes(values, bits):
-            hit &= (words[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1
-        yield batch.filter(pa.array(hit))
+        yield batch.filter(pa.array(_passes(batch.column("doc_id"), words)))
+
+
+def _bloom(spark, ids: DataFrame, bits: int):
+    """A broadcast Bloom filter of ``bits`` bits over the doc_id column of ``ids``."""
+    marks = ids.mapInArrow(lambda it: _id_bits(it, bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    for batch in marks.toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(words)
 
 
 def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, filter_bits: int = FILTER_BITS) -> np.ndarray:
@@ -145,28 +166,31 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: flo
     in every cell. What reaches the driver is one row per cell met, so at most ``buckets`` rows.
 
     Texts are not shuffled to find the target: a Bloom filter of the target ids (``filter_bits``
-    bits, whatever the number of labels) lets through the target and a share of false positives,
-    and only those rows meet the exact semi-join with the ids.
+    bits, whatever the number of labels) marks rows where they lie, and their cells are counted
+    there. The ids it lets through in error are found exactly by joining ids alone; only the texts
+    of those rows move (through a second filter and an exact semi-join), and their counts are
+    taken away again.
     """
     spark = docs.sparkSession
     target_ids = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = target_ids.mapInArrow(lambda it: _id_bits(it, filter_bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    words = np.zeros(filter_bits // 64, dtype=np.uint64)
-    for batch in marks.toArrow().to_batches():
-        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(words)
-    candidates = raw.mapInArrow(lambda it: _maybe_target(it, shared), raw.schema)
-    target = candidates.join(target_ids, "doc_id", "left_semi")
-
-    def counts(frame: DataFrame) -> np.ndarray:
-        met = frame.select("text").mapInArrow(lambda it: _counts(it, buckets), "cell int, n bigint")
-        dense = np.zeros(buckets, dtype=np.float64)
-        for batch in met.groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
-            dense[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    targets = _bloom(spark, target_ids, filter_bits)
+
+    def counts(frame: DataFrame, shared=None) -> np.ndarray:
+        met = frame.mapInArrow(lambda it: _counts(it, buckets, shared), "kind byte, cell int, n bigint")
+        dense = np.zeros((2, buckets), dtype=np.float64)
+        for batch in met.groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            dense[batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
         return dense
 
-    t, r = counts(target), counts(raw)
+    # Every text, and those the filter lets through, counted where they lie.
+    r, passed = counts(raw, targets)
+    # The ids that passed but are no target: found by ids alone; their texts are few and move.
+    passed_ids = raw.select("doc_id").mapInArrow(lambda it: _maybe_target(it, targets), "doc_id long")
+    false_ids = passed_ids.join(target_ids, "doc_id", "left_anti").distinct()
+    falses = _bloom(spark, false_ids, filter_bits)
+    false_docs = raw.mapInArrow(lambda it: _maybe_target(it, falses), raw.schema).join(false_ids, "doc_id", "left_semi")
+    t = passed - counts(false_docs)[0]
     return np.log((t + alpha) / (t.sum() + alpha * buckets)) - np.log((r + alpha) / (r.sum() + alpha * buckets))
 
 

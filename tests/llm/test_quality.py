@@ -56,3 +56,24 @@ def test_rate_keeps_target_like_texts_and_edge_rows(spark):
     assert not by[102][0].kept
     empty = quality.rate(docs.limit(0), ratio)
     assert empty.count() == 0 and "quality_score" in empty.columns
+
+
+def test_target_counts_do_not_depend_on_the_filter(spark):
+    """A filter of 64 bits lets most ids through in error; the counts must be the same."""
+    rows = [(i, f"word{i % 13} other{i % 7} text {i}", "en", "s") for i in range(200)] + [(7, "again seven", "en", "s"), (None, "no id", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(0, 200, 2)] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    exact = quality.train(docs, labels, buckets=1 << 10, filter_bits=1 << 20)
+    leaky = quality.train(docs, labels, buckets=1 << 10, filter_bits=64)
+    assert np.allclose(exact, leaky)
+    ids = {i for i in range(0, 200, 2) if i % 3}
+    target = np.zeros(1 << 10)
+    raw = np.zeros(1 << 10)
+    for d, text, _, _ in rows:
+        c = np.bincount(quality.cells(text, 1 << 10), minlength=1 << 10)
+        raw += c
+        if d in ids:
+            target += c
+    a = quality.ALPHA
+    want = np.log((target + a) / (target.sum() + a * 1024)) - np.log((raw + a) / (raw.sum() + a * 1024))
+    assert np.allclose(exact, want)
