@@ -38,11 +38,18 @@ def staged(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STAGED:
         path = new_folder(spark, "staging")
-        fresh_staging(spark, folder).write.parquet(path)
+        fresh_staging(spark, folder).write.option("compression", "zstd").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 
 
+def once(spark: SparkSession, folder: str) -> DataFrame:
+    """Staged contracts for a query that reads them in one pass: from Parquet if this session has
+    written it, else derived with no more than the columns the query takes."""
+    stored = (spark.sparkContext.applicationId, folder) in _STAGED
+    return staged(spark, folder) if stored else fresh_staging(spark, folder)
+
+
 def _spine(spark: SparkSession, folder: str) -> DataFrame:
     return M.date_spine_of(spark.read.parquet(f"{folder}/orders.parquet"), "o_orderdate")
 
@@ -51,6 +58,10 @@ def _on_stg(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: build(staged(spark, folder))
 
 
+def _once(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: build(once(spark, folder))
+
+
 def _columns(**columns: Callable[[], Column]) -> Query:
     """Contract number with derived columns; a column can be made only once a session runs."""
     return _on_stg(
@@ -81,9 +92,9 @@ TABLES: dict[str, Query] = {
     ),
     "fct_amendments": _on_stg(M.fct_amendments),
     "fct_contracts_branch": _on_stg(M.fct_contracts_branch),
-    "mart_supplier_concentration": _on_stg(M.mart_supplier_concentration),
+    "mart_supplier_concentration": _once(M.mart_supplier_concentration),
     "mart_temporal": _on_stg(M.mart_temporal),
-    "mart_winner_diversity": _on_stg(M.mart_winner_diversity),
+    "mart_winner_diversity": _once(M.mart_winner_diversity),
     "mart_cost_escalation": _on_stg(M.mart_cost_escalation),
 }
 
@@ -452,7 +463,7 @@ QUERIES: dict[str, Query] = {
             ["cod_unidade_gestora"],
         )
     ),
-    "rank_partitioned_by_counting": _on_stg(
+    "rank_partitioned_by_counting": _once(
         lambda s: ranking.rank_partitioned(
             A.agg_supplier_agency(s), "rank_no_orgao", "vl_total_fornecedor_orgao",
             ["cod_unidade_gestora"], one_task_rows=0,
@@ -513,7 +524,7 @@ QUERIES: dict[str, Query] = {
     ),
     "check_variation_formula": _on("mart_cost_escalation", C.check_variation_formula),
     "profile_percentiles": _on_stg(lambda s: profile.profile_percentiles(s, "vl_original")),
-    "profile_outlier_counts": _on_stg(
+    "profile_outlier_counts": _once(
         lambda s: profile.profile_outlier_counts(s, value_limit=100_000)
     ),
     "profile_key_uniqueness": _on_stg(
