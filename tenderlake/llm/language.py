@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tenderlake.llm.store import id_column, keep, plain_text
 
 ORDER = 4
-# Training texts on which the scores are calibrated; a bounded sample, in the order of a hash.
-CALIBRATION_ROWS = 4000
+# How sharply scores may follow entropies; the best over all labelled texts is taken.
+BETAS = tuple(0.5 * 1.5**k for k in range(16))
 # Standard deviations above a language's mean entropy from which on a text is rejected.
 REJECT = 4.0
 # Characters worked on at once.
@@ -163,26 +163,27 @@ class Model:
         letters = np.bincount(row, codes[at] != SPACE, len(texts))
         return -sums / np.maximum(size, 1)[:, None], letters
 
-    def calibrate(self, entropy: np.ndarray, truth: np.ndarray) -> None:
-        """Fit how sharply scores follow entropies, and what entropies are usual, on labelled texts."""
-        if not len(truth):
-            return
+    def sums(self, entropy: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """Per language, over texts of that language: their number, the sums of their entropies under it and
+        of the squares, and the loss under each of BETAS."""
+        own = entropy[np.arange(len(truth)), truth]
         away = entropy - entropy.min(axis=1, keepdims=True)
+        losses = [np.log(np.exp(-beta * away).sum(axis=1)) + beta * away[np.arange(len(truth)), truth] for beta in BETAS]
+        return np.stack([np.bincount(truth, x, len(self.langs)) for x in (np.ones(len(truth)), own, own * own, *losses)], axis=1)
 
-        def loss(beta: float) -> float:
-            z = -beta * away
-            return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean())
-
-        self.beta = min((0.5 * 1.5**k for k in range(16)), key=loss)
-        own = entropy[np.arange(len(truth)), truth]
-        for i in range(len(self.langs)):
-            if (truth == i).sum() > 1:
-                self.mean[i], self.spread[i] = own[truth == i].mean(), max(own[truth == i].std(), 1e-3)
+    def calibrate(self, sums: np.ndarray) -> None:
+        """Fit how sharply scores follow entropies, and what entropies are usual, from the sums over labelled texts."""
+        if not sums[:, 0].any():
+            return
+        self.beta = BETAS[int(sums[:, 3:].sum(axis=0).argmin())]
+        some = sums[:, 0] > 1
+        self.mean[some] = sums[some, 1] / sums[some, 0]
+        self.spread[some] = np.maximum(np.sqrt(np.maximum(sums[some, 2] / sums[some, 0] - self.mean[some] ** 2, 0)), 1e-3)
 
 
 def train(docs: DataFrame, lang: str = "lang") -> Model | None:
-    """Models of all languages of labelled ``docs``; counts cover every row and every gram is held, so memory
-    grows with the distinct grams. None if there is no labelled text."""
+    """Models of all languages of labelled ``docs``; counts and calibration cover every row and every gram is
+    held, so memory grows with the distinct grams. None if there is no labelled text."""
     labelled = docs.filter(F.col(lang).isNotNull()).select(id_column(docs), F.col(lang).cast("string").alias("lang"), plain_text().alias("text"))
     counts = labelled.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, times bigint")
     counts = keep(counts.groupBy("lang", "gram").agg(F.sum("times").alias("times")), "gram-counts")
@@ -192,25 +193,29 @@ def train(docs: DataFrame, lang: str = "lang") -> Model | None:
     langs = sorted(set(kept.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
     model = Model(langs, np.array([number[x] for x in kept.column("lang").to_pylist()]), kept.column("gram").to_numpy().view(np.uint64), kept.column("times").to_numpy())
-    some = labelled.count()
-    if some > CALIBRATION_ROWS:
-        share = CALIBRATION_ROWS / some
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
-    # One narrow row per sampled text comes back.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    sample = labelled.select("text", "lang").mapInArrow(partial(_entropies, shared=shared), "lang string, entropy array<double>").toArrow()
-    rows = [(number[x], e) for x, e in zip(sample.column("lang").to_pylist(), sample.column("entropy").to_pylist(), strict=True) if x in number]
-    model.calibrate(np.array([e for _, e in rows]).reshape(-1, len(langs)), np.array([x for x, _ in rows], dtype=np.int64))
+    fitted = labelled.select("text", "lang").mapInArrow(partial(_fit_sums, shared=shared), "lang int, measure int, amount double")
+    # A few numbers per language come back.
+    fitted = fitted.groupBy("lang", "measure").agg(F.sum("amount").alias("amount")).toArrow()
+    sums = np.zeros((len(langs), 3 + len(BETAS)))
+    sums[fitted.column("lang").to_numpy(), fitted.column("measure").to_numpy()] = fitted.column("amount").to_numpy()
+    model.calibrate(sums)
     return model
 
 
-def _entropies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The entropies of labelled texts that have letters."""
+def _fit_sums(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's labelled texts that have letters; see Model.sums."""
+    model: Model = shared.value
+    number = {x: i for i, x in enumerate(model.langs)}
+    sums = np.zeros((len(number), 3 + len(BETAS)))
     for batch in batches:
         for part, texts in _portions(batch):
-            entropy, letters = shared.value.entropies(texts)
-            some = np.flatnonzero(letters)
-            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(some)), pa.array(entropy[some].tolist(), pa.list_(pa.float64()))], names=["lang", "entropy"])
+            entropy, letters = model.entropies(texts)
+            truth = np.array([number.get(x, -1) for x in part.column("lang").to_pylist()], dtype=np.int64)
+            some = (letters > 0) & (truth >= 0)
+            sums += model.sums(entropy[some], truth[some])
+    lang, measure = np.indices(sums.shape, dtype=np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (lang, measure, sums)], names=["lang", "measure", "amount"])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,23 @@ def test_language_keeps_rare_grams(spark):
     assert entropy.argmin() == 0
 
 
+def test_language_is_calibrated_on_every_row(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["abc", "abd", "xyz"][i % 3]) for _ in range(rng.randint(1, 30))), ["aa", "bb", "cc"][i % 3]) for i in range(6000)]
+    rows += [(6000, "123", "aa"), (6001, None, "bb")]  # without letters: not counted
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    entropy, _ = model.entropies([t for _, t, _ in rows[:6000]])
+    for k in range(3):
+        assert model.mean[k] == pytest.approx(entropy[k::3, k].mean(), abs=1e-9)
+        assert model.spread[k] == pytest.approx(entropy[k::3, k].std(), abs=1e-9)
+
+    def loss(beta):
+        z = -beta * (entropy - entropy.min(axis=1, keepdims=True))
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(6000), np.arange(6000) % 3]).mean()
+
+    assert model.beta == min(language.BETAS, key=loss)
+
+
 def test_language(spark, docs):
     rng = random.Random(13)
     parts = {"aa": ["the", "ing", "ou"], "bb": ["öß", "ung", "sch"], "cc": ["語日", "本中"]}
