@@ -44,8 +44,8 @@ def staged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def once(spark: SparkSession, folder: str) -> DataFrame:
-    """Staged contracts for a query that reads them in one pass: from Parquet if this session has
-    written it, else derived with no more than the columns the query takes."""
+    """Staged contracts for a query that reads a few columns once or twice: from Parquet if this session
+    has written it, else derived with no more than the columns the query takes."""
     stored = (spark.sparkContext.applicationId, folder) in _STAGED
     return staged(spark, folder) if stored else fresh_staging(spark, folder)
 
@@ -369,10 +369,10 @@ def _write_marts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _merge_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The first publication and the present state arrive one after the other as a stream."""
-    stg = staged(spark, folder)
+    stg = once(spark, folder)
     landing, base = new_folder(spark, "updates"), new_folder(spark, "merged")
     for df in (_as_signed(stg), _as_now(stg)):
-        df.write.mode("append").parquet(landing)
+        df.write.mode("append").option("compression", "zstd").parquet(landing)
         updates = spark.readStream.schema(df.schema).parquet(landing)
         incremental.merge_stream(updates, base, f"{base}/checkpoint", KEY, ["dt_publicacao"])
     return T.read_current(spark, base)
