@@ -3,8 +3,11 @@
 A document's set is its distinct word shingles. Documents with one set are one class, and one member
 stands for it. Every tree starts from a few of the class's minwise tokens; a node holds the classes
 that agree on all tokens of its path. Small nodes are compared exhaustively. A large node is first
-compared with its most central member, which joins dense groups in one pass; if more than one
-component is left in it, it branches on CHOICES further tokens, chosen by a hash of the node, so a pair stays
+compared with its most central member, which joins dense groups in one pass. The members of all large
+nodes that still hold more than one component are then joined once more, by the rarest shingles of
+their full sets: linked sets share one of them (prefix filter), so no link is lost and a pair is not
+looked for in every tree. Only members that share such a shingle with more than BLOCKED others go down
+the trees: a large node branches on CHOICES further tokens, chosen by a hash of the node, so a pair stays
 together in more than one child on average, and its chance of being parted has a bound that holds at
 every depth. Nodes are independent, so their number sets the recall. Every link is confirmed on full sets.
 
@@ -39,8 +42,10 @@ MISS = 1e-4
 # Least number of trees, and of distinct tokens chosen at a node; lower thresholds need more.
 ROOTS = 12
 CHOICES = 2
-# Most classes in one exhaustive comparison; most members beside one copy of a pivot.
+# Most classes in one exhaustive comparison; most that share a rare shingle and are compared block by
+# block; most members beside one copy of a pivot.
 LEAF = 1024
+BLOCKED = 8 * LEAF
 PARTNERS = 256
 # Members from which a node's most frequent tokens are taken.
 SAMPLE = 256
@@ -48,6 +53,12 @@ SAMPLE = 256
 OUTSIDERS = 128
 # Levels after which a node that does not split is compared block by block.
 DEPTH = 6
+# Cells, a power of two, in which the shingles of large nodes are counted; a task sends those cells
+# that hold OFTEN times its mean and more. The counts only say which shingles come last in an order.
+CELLS = 1 << 20
+OFTEN = 4
+# Bytes of a node's sets as bits; beyond, pairs are compared one by one.
+BITS = 1 << 26
 # Narrow rows (identifiers) that may be broadcast to the scan of the sets; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -182,6 +193,22 @@ def _similar(batches: Iterator[pa.RecordBatch], star: bool, least: int) -> Itera
         yield from compare(*rest)
 
 
+def _bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A row of bits per set, one for each value that several of the sets hold; None for a few sets or too many bits."""
+    if len(sets) < 8:
+        return None
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    width = max(0, int(column[-1])) // 64 * 8 + 8
+    if len(sets) * width > BITS:
+        return None
+    shared = times[at] > 1
+    row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[shared], column[at[shared]]
+    bits = np.zeros((len(sets), width), dtype=np.uint8)
+    np.bitwise_or.at(bits, (row, column >> 3), np.uint8(1) << (column & 7).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
 def _links_within(batches: Iterator[pa.RecordBatch], percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """Confirmed links of a node, over rows sorted by node: each pair that shares enough tokens is
     compared on full sets, unless links found in this node have joined its components meanwhile."""
@@ -190,20 +217,27 @@ def _links_within(batches: Iterator[pa.RecordBatch], percent: int, least: int) -
         comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
         tokens = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u2").reshape(-1, TOKENS)
         size = np.array([len(r[3]) for r in rows])
+        bits = _bits([r[3] for r in rows])
         links = []
         for i in range(len(rows) - 1):
-            near = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
+            near = (comp[i + 1 :] != comp[i]) & ((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least)
             near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-            for j in np.flatnonzero(near) + i + 1:
+            others = np.flatnonzero(near) + i + 1
+            if bits is not None:
+                both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+                others = others[100 * both >= percent * (size[i] + size[others] - both)]
+            for j in others:
                 if comp[i] == comp[j]:
                     continue
-                a, b = rows[i][3], rows[j][3]
-                at = np.searchsorted(a, b)
-                at[at == len(a)] = 0
-                both = int((a[at] == b).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    links.append((rows[i][0], rows[j][0]))
-                    comp[comp == comp[j]] = comp[i]
+                if bits is None:
+                    a, b = rows[i][3], rows[j][3]
+                    at = np.searchsorted(a, b)
+                    at[at == len(a)] = 0
+                    both = int((a[at] == b).sum())
+                    if 100 * both < percent * (len(a) + len(b) - both):
+                        continue
+                links.append((rows[i][0], rows[j][0]))
+                comp[comp == comp[j]] = comp[i]
         return links
 
     now, rows = None, []
@@ -315,8 +349,8 @@ class _Join:
         return rows.repartition("node").sortWithinPartitions("node", "rid")
 
     def stars(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of the first member of each node of ``rows`` (node, rid, comp)."""
-        return self.by_node(rows).mapInArrow(partial(_similar, star=True, least=self.search.shared), "a bigint, b bigint").distinct()
+        """Candidate pairs of the first member of each node of ``rows`` (node, rid, comp), some of them repeated."""
+        return self.by_node(rows).mapInArrow(partial(_similar, star=True, least=self.search.shared), "a bigint, b bigint")
 
     def compare(self, rows: DataFrame) -> None:
         """Compare the members of each node, of at most LEAF or so, and add the links between components."""
@@ -337,23 +371,51 @@ class _Join:
         self.comp = components(links)
 
     def central(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of each large node's members with the member nearest to its most frequent tokens.
+        """Candidate pairs of each large node's members with the member nearest to its most frequent tokens,
+        some of them repeated.
 
         The frequent tokens are taken over SAMPLE members in the order of a hash."""
+        rows = keep(rows.select("node", "rid", "comp").join(self.tokens, "rid"), "large-tokens")
         some = rows.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("rid", "node"), "rid"))).filter(F.col("at") <= SAMPLE)
-        some = some.select("node", "rid").join(self.tokens, "rid").repartition("node").sortWithinPartitions("node")
+        some = some.select("node", "rid", "tokens").repartition("node").sortWithinPartitions("node")
         usual = keep(some.mapInArrow(_usual_tokens, "node bigint, usual binary"), "usual-tokens")
-        near = rows.select("node", "rid", "comp").join(self.tokens, "rid").join(usual, "node")
+        near = rows.join(usual, "node")
         near = keep(near.mapInArrow(_agreement, "node bigint, rid bigint, comp bigint, tokens binary, shared bigint"), "agreement")
         pivot = near.groupBy("node").agg(F.max(F.struct("shared", "rid", "comp", "tokens")).alias("pivot"))
         pivot = keep(pivot.select("node", "pivot.*").withColumnsRenamed({"rid": "pivot", "comp": "pivot_comp", "tokens": "pivot_tokens"}).drop("shared"), "pivots")
         both = near.join(pivot, "node").filter("rid <> pivot and comp <> pivot_comp")
-        return both.mapInArrow(partial(_close_to_pivot, least=self.search.shared), "a bigint, b bigint").distinct()
+        return both.mapInArrow(partial(_close_to_pivot, least=self.search.shared), "a bigint, b bigint")
+
+    def below(self, rows: DataFrame) -> DataFrame:
+        """Comparisons (node, rid, comp) of bounded size for the members of large nodes (see _live).
+
+        Members whose rarest shingles meet in a node of at most BLOCKED are compared there, and a
+        linked pair meets in one. Both members of a pair that meets in larger ones only go down the trees."""
+        if self.percent < 1:  # sets without a common shingle are linked then
+            return _descend(rows.join(self.tokens, "rid"), self.search.choices)
+        members = keep(rows.select("rid", "comp").distinct(), "large-members")
+        sets = self.sets.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "rid")
+        counts = sets.select("members").mapInArrow(_cells, "cell bigint, times bigint").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+        times = np.zeros(CELLS, dtype=np.int64)
+        times[counts.column("cell").to_numpy()] = counts.column("times").to_numpy()
+        shared = rows.sparkSession.sparkContext.broadcast(times)
+        prefix = sets.select("rid", "comp", "members").mapInArrow(partial(_rarest, percent=self.percent, shared=shared), "node bigint, rid bigint, comp bigint")
+        prefix = keep(prefix, "prefixes")
+        met = prefix.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        met = keep(met.filter("least < most").select("node", "n"), "prefix-nodes")
+        prefix = keep(prefix.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "node"), "prefix-members")
+        small, blocked = F.col("n") <= LEAF, F.col("n") <= BLOCKED
+        leaves = prefix.filter(small).select("node", "rid", "comp").unionByName(_in_blocks(prefix.filter(~small & blocked)))
+        crowded = prefix.filter(~blocked).select("rid").distinct()
+        if crowded.isEmpty():
+            return leaves
+        rest = _live(rows.join(keep(crowded, "crowded"), "rid", "left_semi"))
+        return leaves.unionByName(_descend(rest.join(self.tokens, "rid"), self.search.choices))
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Compare the full sets of pairs; add the links and bring the components up to date."""
-        pairs = keep(pairs, "pairs")
-        counts = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")), "partners")
+        """Compare the full sets of pairs, which may repeat; add the links and bring the components up to date."""
+        pairs = keep(pairs.distinct(), "pairs")
+        counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
         dealt = pairs.join(counts, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), (partners + {PARTNERS - 1}) div {PARTNERS})").cast("int").alias("salt"))
         rows = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("rid"))
         rows = keep(rows.unionByName(dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("rid")).distinct()), "dealt")
@@ -411,11 +473,43 @@ def _close_to_pivot(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (W.mix(shingles) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells that stand out among the shingles of a task, and how often they occur."""
+    times = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            times += np.bincount(_cell(np.frombuffer(b"".join(batch.column("members").to_pylist()), dtype=np.uint64)), minlength=CELLS)
+    often = np.flatnonzero(times > 1 + OFTEN * times.mean())
+    if len(often):
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(times[often])], names=["cell", "times"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], percent: int, shared) -> Iterator[pa.RecordBatch]:
+    """The shingles of each set that come first in the order of (cell's count, value): so many that a
+    set linked with it, of whatever size, has one of them among its own first ones."""
+    times = shared.value
+    for batch in batches:
+        found = []
+        for members in batch.column("members"):
+            values = np.frombuffer(members.as_buffer(), dtype=np.uint64)
+            first = len(values) - (percent * len(values) + 99) // 100 + 1
+            found.append(values[np.argsort(times[_cell(values)], kind="stable")[:first]])
+        if found:
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(W.mix(np.concatenate(found) ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64)), batch.column("rid").take(pa.array(at)), batch.column("comp").take(pa.array(at))], names=["node", "rid", "comp"])
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Split nodes into comparisons of bounded size that lose no pair of different components.
 
-    Few members outside the largest component: each block of that component's members is put beside
-    all of them. Otherwise every two blocks are put together."""
+    Few members outside the largest component, where that is known: each block of that component's
+    members is put beside all of them. Otherwise every two blocks are put together."""
+    if "outside" not in rows.columns:
+        rows = rows.withColumns({"outside": F.lit(OUTSIDERS + 1), "largest": F.lit(None).cast("bigint")})
     few = F.col("outside") <= OUTSIDERS
     blocks = F.expr(f"(n + {LEAF - OUTSIDERS - 1}) div {LEAF - OUTSIDERS}")
     halves = F.expr(f"(n + {LEAF // 2 - 1}) div {LEAF // 2}")
@@ -453,7 +547,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     # The first nodes; most hold one class and end here.
     rows = reps.select(F.explode("nodes").alias("node"), "rid")
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = keep(rows.join(keep(shared, "nodes").drop("n"), "node"), "members")
+    rows = keep(rows.join(keep(shared, "nodes"), "node").withColumn("comp", F.col("rid")), "members")
     wanted = keep(reps.join(rows.select("rid").distinct(), "rid").select("rid", F.col("doc_id").alias("id"), F.col("h").alias("hash")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).select("rid", "text")
@@ -461,14 +555,13 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
         texts = texts.dropDuplicates(["rid"])
     join = _Join(reps, keep(texts.mapInArrow(partial(_sets, n=shingle), "rid bigint, members binary"), "sets"), percent)
 
-    rows = _live(join.with_components(rows))
     small, large = rows.filter(f"n <= {LEAF}"), rows.filter(f"n > {LEAF}")
     has_large = not large.isEmpty()
     pairs = join.stars(small)
-    join.confirm(pairs.unionByName(join.central(large)).distinct() if has_large else pairs)
+    join.confirm(pairs.unionByName(join.central(large)) if has_large else pairs)
     small = _live(join.with_components(small)).select("node", "rid", "comp")
     if has_large:
-        small = small.unionByName(_descend(_live(join.with_components(large)).join(join.tokens, "rid"), join.search.choices))
+        small = small.unionByName(join.below(_live(join.with_components(large))))
     join.compare(small)
 
     classes = join.with_components(classes.withColumnRenamed("rep", "rid"))
@@ -527,7 +620,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int =
     groups = keep(near_groups(docs, percent, shingle), "near-groups")
     stays = groups.filter("keeps_group").select(F.col("doc_id").alias("stay_id"), F.col("h").alias("stay_h"))
     gone = groups.filter(~F.col("keeps_group")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
-    gone = gone.join(stays, F.col("gone_id").eqNullSafe(F.col("stay_id")) & (F.col("gone_h") == F.col("stay_h")), "left_anti")
+    gone = keep(gone.join(stays, F.col("gone_id").eqNullSafe(F.col("stay_id")) & (F.col("gone_h") == F.col("stay_h")), "left_anti"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     hashed = docs.withColumn("near_dedup_h", F.xxhash64(plain_text()))
     if _has_repeats(groups):
         hashed = hashed.dropDuplicates(["doc_id", "near_dedup_h"])

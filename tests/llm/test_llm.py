@@ -90,6 +90,40 @@ def test_near_groups_below_large_nodes(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_near_groups_of_large_nodes(spark, monkeypatch):
+    """Versions of one page that are mostly no links: they meet by their rarest shingles; only those that
+    share one with too many others go down the trees."""
+    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 2)
+    down, descend = [], near_dedup._descend
+    monkeypatch.setattr(near_dedup, "_descend", lambda *a: down.append(1) or descend(*a))
+    base, rows = [f"t{i}" for i in range(100)], []
+    for k in range(24):
+        page = list(base)
+        page[4 * k], page[(4 * k + 37) % 100] = f"p{k}", f"q{k}"
+        rows += [(2 * k, " ".join(page))] + [(2 * k + 1, " ".join([*page, f"end{k}"]))] * (k % 3 == 0)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for blocked, trees in ((8 * 1024, 0), (5, 1)):
+        monkeypatch.setattr(near_dedup, "BLOCKED", blocked)
+        got = near_dedup.near_groups(frame).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+        assert len(down) == trees
+
+
+def test_links_within_a_node():
+    """Sets as bits give the links that pairs of sets give."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(40), rng.integers(40, 60, rng.integers(0, 12))]).astype(np.uint64)) for _ in range(30)]
+    columns = [pa.array([1] * 30), pa.array(range(30)), pa.array(range(30)), pa.array([bytes(2 * near_dedup.TOKENS)] * 30), pa.array([x.tobytes() for x in sets])]
+    rows = pa.RecordBatch.from_arrays(columns, names=["node", "rid", "comp", "tokens", "members"])
+    bits = near_dedup._bits(sets)
+    both = [[int(np.bitwise_count(a & b).sum()) for b in bits] for a in bits]
+    assert all(both[i][j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(i))
+    found = [pair for batch in near_dedup._links_within(iter([rows]), 85, 43) for pair in zip(*batch.to_pydict().values())]
+    assert found and all(20 * both[i][j] >= 17 * (len(sets[i]) + len(sets[j]) - both[i][j]) for i, j in found)
+    assert near_dedup._bits([x for x in np.arange(9, dtype=np.uint64).reshape(9, 1)]).sum() == 0
+
+
 def test_near_groups_follow_percent(spark):
     for percent in (95, 85, 80, 70, 50):
         found = near_dedup.search(percent)
@@ -216,6 +250,26 @@ def test_bpe(docs):
             assert [encoder.bytes_of[i] for i in encoder.run(piece)] == list(bpe.merge(encoder.ranks, piece))
 
 
+def test_bpe_of_rare_pieces(monkeypatch):
+    """Pieces without kept moves are not run one by one."""
+    import public_tokenizers
+    import regex
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    find, rng = regex.compile(public_tokenizers.PATTERN).findall, random.Random(4)
+    monkeypatch.setattr(bpe, "PAIRS", 64)
+    encoder = bpe.Encoder(bpe.read_ranks(path), moves=300)
+    monkeypatch.setattr(encoder, "run", None)
+    parts = ["th", "ing", "ent", "é", "日", "ll", "qu", "x", "tion", "\U0001f600", "Er"]
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(20)]
+        pieces = [find(text) for text in texts]
+        encoder.learn(pieces)
+        assert [encoder.encode(x) for x in pieces] == [known.encode_ordinary(text) for text in texts]
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(5000)}"
@@ -269,6 +323,10 @@ def test_toxicity(spark, docs):
     got = {r.doc_id: r.score for r in toxicity.score(frame, toxicity.train(frame, labelled)).collect()}
     assert all((got[i] >= 0.5) == (i % 8 == 0) for i in range(600))
     assert toxicity.drop_toxic(frame, labelled).count() == 525
+    more = frame.withColumns({"toxic_id": F.col("doc_id"), "n": F.lit(1)})
+    kept = toxicity.drop_toxic(more, labelled)
+    assert kept.schema == more.schema and sorted(r.toxic_id for r in kept.collect()) == [i for i in range(600) if i % 8]
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()  # no text is shuffled
     nothing = toxicity.train(docs, labelled.limit(0))
     assert toxicity.score(docs, nothing).filter("score < 0.5").count() == len(TEXTS)
     assert toxicity.drop_toxic(docs.limit(0), labelled).count() == 0
