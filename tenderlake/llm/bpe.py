@@ -4,7 +4,9 @@ Encoding. In a BPE encoding every two neighbouring tokens are what BPE makes of
 and a text has one such sequence. That makes encoding regular: a hypothesis is the last token ended
 so far and the place in the trie of tokens, and a byte extends it or ends a token that may stand
 beside the last one. The set of live hypotheses is a state; what all of them agree on is emitted, so
-a token leaves once no later byte can change it. States and moves are made when first met and kept.
+a token leaves once no later byte can change it. States and moves are made and kept when they are
+wanted often; the pieces of a batch that come to rarer moves go on side by side, the hypotheses of
+all of them a byte at a time.
 
 Decoding. Each (UTF-8 state, token) pair becomes one move: the characters completed and the bytes
 still open. Moves are kept too, so long outputs cost one lookup per token.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -29,9 +32,11 @@ from tenderlake.llm.store import id_column, plain_text
 # Moves and pieces a task keeps before it starts its tables anew.
 MOVES = 100_000
 PIECES = 250_000
-# Times a move is wanted before it is kept; bytes of a piece that is read from its end.
+# Times a move is wanted before it is kept; characters of a piece that runs beside others and is remembered.
 WANTED = 8
-SHORT = 256
+SHORT = 64
+# Pairs of tokens of which a task remembers whether they may stand together.
+PAIRS = 1 << 20
 # Token ids in a batch that goes back to Spark, unless one text has more.
 BATCH_IDS = 1 << 20
 # Beyond any rank.
@@ -57,6 +62,10 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> tuple[bytes, ...]:
     return tuple(parts)
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Encoder:
     """Token ids of pieces under the given ranks."""
 
@@ -78,22 +87,25 @@ class Encoder:
                     self.depth.append(self.depth[node] + 1)
                 node = after
             self.token[node] = rank
-        # The trie of reversed tokens, for pieces that are read from their end.
-        self.behind: dict[int, int] = {}
-        self.closes: list[int | None] = [None]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in reversed(token):
-                after = self.behind.get(node << 8 | byte)
-                if after is None:
-                    after = self.behind[node << 8 | byte] = len(self.closes)
-                    self.closes.append(None)
-                node = after
-            self.closes[node] = rank
+        # The same trie in arrays, for pieces that run side by side: a row of 256 children per node that has any.
+        self.trie_token = np.array([-1 if t is None else t for t in self.token])
+        self.trie_open = np.array([bool(below) for below in self.children])
+        self.trie_row = np.cumsum(self.trie_open) - 1
+        self.trie_after = np.full(256 * int(self.trie_open.sum()), -1, dtype=np.int32)
+        moves = [(node, byte, after) for node, below in enumerate(self.children) for byte, after in below.items()]
+        node, byte, after = np.array(moves, dtype=np.int64).reshape(-1, 3).T
+        self.trie_after[self.trie_row[node] << 8 | byte] = after
+        # Two tokens whose joint bytes are a token, and that token.
+        joints = sorted((a << 32 | b, rank) for token, rank in ranks.items() for a, b in ((ranks.get(token[:k]), ranks.get(token[k:])) for k in range(1, len(token))) if a is not None and b is not None)
+        self.joints, self.joint_ranks = np.array(joints, dtype=np.int64).reshape(-1, 2).T.copy()
+        self.sides: tuple[dict[int, list[int]], ...] = ({}, {})
+        # Pairs looked at lately, each in the one place it may have.
+        self.pairs, self.pair_fits = np.full(PAIRS, -1), np.zeros(PAIRS, dtype=bool)
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.beside: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        # Ids of pieces, as the bytes of 32-bit integers.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -185,18 +197,23 @@ class Encoder:
         A move is made and kept when it is wanted for the WANTED-th time. A piece that comes to a
         rarer one, most of which never come again, goes on over that state's hypotheses instead.
         """
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
         if len(self.states) > self.moves:
             self.restart()
+        at, state, ids = self.walk(piece)
+        return tuple(ids) if at == len(piece) else self.run(piece, at, self.states[state], ids)
+
+    def walk(self, piece: bytes) -> tuple[int, int, tuple | list]:
+        """How far kept moves lead, the state there, and the ids settled so far: all of them at the end."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return len(piece), 0, (whole,)
         state, ids, steps = 0, [], self.steps
         for at, byte in enumerate(piece):
             move = steps[state].get(byte, 0)
             if move.__class__ is int:
                 if move + 1 < WANTED:
                     steps[state][byte] = move + 1
-                    return self.run(piece, at, self.states[state], ids)
+                    return at, state, ids
                 live, emitted = self.advance(self.states[state], byte)
                 move = steps[state][byte] = (self.number(tuple(live)), emitted)
             state = move[0]
@@ -206,63 +223,174 @@ class Encoder:
         if not live or live[-1][1]:
             raise ValueError("a piece has no encoding")
         ids.extend(live[-1][0][1:])
-        return tuple(ids)
+        return len(piece), state, ids
 
     def run(self, piece: bytes, k: int = 0, state: tuple = START, emitted: tuple | list = ()) -> tuple[int, ...]:
-        """The ids of one piece without further kept moves: of each prefix, the token that ends its encoding.
-
-        ``state`` and ``emitted`` are what the first k bytes gave: a token that ends beyond k begins
-        where the open token of a hypothesis began, or later. A short piece is asked from its end, so
-        that only prefixes that matter are looked at."""
-        size, beside, depth = len(piece), self.beside, self.depth
-        ends: list[int | None] = [None] * (size + 1)
-        held_at = {}
-        for held, node in state:
-            ends[k - depth[node]] = held[-1]
-            held_at[k - depth[node]] = held
-        if size <= SHORT:
-            behind, closes = self.behind, self.closes
-
-            def last(end: int) -> int:
-                node, found = 0, []
-                for at in range(end - 1, -1, -1):
-                    node = behind.get(node << 8 | piece[at])
-                    if node is None:
-                        break
-                    token = closes[node]
-                    if token is not None and (at > k or ends[at] is not None):
-                        found.append((at, token))
-                for at, token in reversed(found):
-                    before = ends[at]
-                    if before is None:
-                        before = last(at)
-                    fits = beside.get((before, token))
-                    if self.may_stand(before, token) if fits is None else fits:
-                        ends[end] = token
-                        return token
-                raise ValueError("a piece has no encoding")
+        """The ids of one piece without further kept moves.
 
-            if size > k:
-                last(size)
-        else:
-            children, tokens = self.children, self.token
-            for at in range(min(held_at), size):
-                before, node = ends[at], 0
-                if before is None:
-                    continue
+        ``state`` and ``emitted`` are what the first k bytes gave. Its hypotheses are followed one
+        after the other, and of the tokens that a hypothesis may go on with the longest is followed
+        first. A text has one encoding, so no place of the piece is come to twice.
+        """
+        size, beside, children, tokens = len(piece), self.beside, self.children, self.token
+        for held, node in state:
+            if k == size and not node:
+                return (*emitted, *held[1:])
+            ids, at, left = [held[-1]], k, []
+            while True:
+                # The tokens that end behind this place: ends and ids, the longest last.
+                ends = []
                 for stop in range(at, size):
                     node = children[node].get(piece[stop])
                     if node is None:
                         break
                     token = tokens[node]
-                    if token is not None and stop >= k and ends[stop + 1] is None and self.may_stand(before, token):
-                        ends[stop + 1] = token
-        ids, at = [], size
-        while at not in held_at:
-            ids.append(ends[at])
-            at -= len(self.bytes_of[ends[at]])
-        ids.reverse()
-        return (*emitted, *held_at[at][1:], *ids)
+                    if token is not None:
+                        ends.append((stop + 1, token))
+                left.append(ends)
+                while left:
+                    if not left[-1]:
+                        left.pop()
+                        ids.pop()
+                        continue
+                    at, token = left[-1].pop()
+                    fits = beside.get((ids[-1], token))
+                    if self.may_stand(ids[-1], token) if fits is None else fits:
+                        break
+                else:
+                    break
+                ids.append(token)
+                if at == size:
+                    return (*emitted, *held[1:], *ids[1:])
+                node = 0
+        raise ValueError("a piece has no encoding")
+
+    def edges(self, tokens: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """edge() of tokens as the rows of a table, with the place of each row's last entry."""
+        some, at = np.unique(tokens, return_inverse=True)
+        rows = []
+        for token in some.tolist():
+            found = self.sides[side].get(token)
+            if found is None:
+                found = self.sides[side][token] = self.edge(token, side)
+            rows.append(found)
+        size = np.array([len(row) for row in rows])
+        table = np.full((len(rows), size.max()), NEVER)
+        table[np.arange(table.shape[1]) < size[:, None]] = np.fromiter(chain.from_iterable(rows), np.int64)
+        return table[at], size[at] - 1
+
+    def stand(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """may_stand() for arrays, both ends of all pairs a merge at a time."""
+        some, at = np.unique(token, return_inverse=True)
+        fits = np.array([self.split(t) is not None for t in some.tolist()], dtype=bool)[at]
+        pair = np.flatnonzero(fits & (before >= 0))
+        if not len(pair):
+            return fits
+        left, i = self.edges(before[pair], 1)
+        right, j = self.edges(token[pair], 0)
+        row = np.arange(len(pair))
+        while len(row):
+            until_left = np.where(i > 0, left[row, i - 1], NEVER)
+            until_right = np.where(j > 0, right[row, j - 1], NEVER)
+            joint = left[row, i] << 32 | right[row, j]
+            found = np.minimum(np.searchsorted(self.joints, joint), len(self.joints) - 1)
+            across = np.where(self.joints[found] == joint, self.joint_ranks[found], NEVER)
+            parts = (across != NEVER) & (across < until_left) & (across <= until_right)
+            fits[pair[row[parts]]] = False
+            goes = np.flatnonzero(~parts & ((i > 0) | (j > 0)))
+            on_left = until_left[goes] <= until_right[goes]
+            row, i, j = row[goes], i[goes] - on_left, j[goes] - ~on_left
+        return fits
+
+    def fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """may_stand() for arrays of tokens; each new pair is looked at once."""
+        wanted = before + 1 << 32 | token
+        place = ((wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % PAIRS
+        fits = self.pair_fits[place]
+        new = np.flatnonzero(self.pairs[place] != wanted)
+        if len(new):
+            fresh, first, at = np.unique(wanted[new], return_index=True, return_inverse=True)
+            found = self.stand((fresh >> 32) - 1, fresh & 0xFFFFFFFF)
+            fits[new] = found[at]
+            # Of pairs with one place the last one stays, with its own answer.
+            last = dict(zip(place[new[first]].tolist(), range(len(fresh))))
+            kept = np.array(list(last.values()))
+            self.pairs[place[new[first[kept]]]], self.pair_fits[place[new[first[kept]]]] = fresh[kept], found[kept]
+        return fits
+
+    def run_all(self, pieces: list[bytes], places: list[int], states: list[int]) -> list[bytes]:
+        """The ids of many pieces that are not settled at their place, as run() gives them, packed.
+
+        The hypotheses of all pieces take a byte at a time together: row by row the piece, the last
+        token ended, where the open token begins, and its trie node.
+        """
+        size, k = np.array([len(p) for p in pieces]), np.array(places)
+        begin = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        kinds, kind = np.unique(states, return_inverse=True)
+        live = [self.states[s] for s in kinds.tolist()]
+        flat = np.array([(held[-1], node, self.depth[node]) for state in live for held, node in state])
+        count = np.array([len(state) for state in live])
+        first, number = (np.cumsum(count) - count)[kind], count[kind]
+        row = np.repeat(np.arange(len(pieces)), number)
+        before, node, depth = flat[np.arange(len(row)) + np.repeat(first - (np.cumsum(number) - number), number)].T
+        start, at = k[row] - depth, k[row]
+        # Of the prefix that ends with a byte: the token that ends its encoding, and where that begins.
+        ends, begins = np.full(len(data), -1), np.zeros(len(data), dtype=np.int64)
+        while len(row):
+            after = self.trie_after[self.trie_row[node] << 8 | data[begin[row] + at]]
+            goes = np.flatnonzero(after >= 0)
+            row, before, start, at, node = row[goes], before[goes], start[goes], at[goes] + 1, after[goes]
+            token = self.trie_token[node]
+            whole = np.flatnonzero(token >= 0)
+            whole = whole[self.fit(before[whole], token[whole])]
+            byte = begin[row[whole]] + at[whole] - 1
+            ends[byte], begins[byte] = token[whole], start[whole]
+            stays = np.flatnonzero(self.trie_open[node])
+            row, before, start, at, node = (
+                np.concatenate([x[stays], y])
+                for x, y in ((row, row[whole]), (before, token[whole]), (start, at[whole]), (at, at[whole]), (node, np.zeros(len(whole), dtype=np.int64)))
+            )
+            more = np.flatnonzero(at < size[row])
+            row, before, start, at, node = row[more], before[more], start[more], at[more], node[more]
+        # Back from the end of each piece, to the hypothesis from which it went on.
+        back, at, active = [], size.copy(), np.arange(len(pieces))
+        while len(active):
+            byte = begin[active] + at[active] - 1
+            if (ends[byte] < 0).any():
+                raise ValueError("a piece has no encoding")
+            back.append((active, ends[byte]))
+            at[active] = begins[byte]
+            active = active[at[active] > k[active]]
+        owner, ids = (np.concatenate([x[i] for x in reversed(back)]) for i in range(2))
+        order = np.argsort(owner, kind="stable")
+        ids, upto = ids[order].astype(np.int32).tobytes(), np.cumsum(4 * np.bincount(owner, minlength=len(pieces))).tolist()
+        held = [{self.depth[node]: packed(tokens[1:]) for tokens, node in state} for state in live]
+        return [held[s][d] + ids[a:b] for s, d, a, b in zip(kind.tolist(), (k - at).tolist(), [0, *upto], upto)]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the ids of all short pieces of some texts that are not among those met lately."""
+        if len(self.states) > self.moves:
+            self.restart()
+        new, rest = {}, []
+        for piece in set(chain.from_iterable(texts)).difference(self.known):
+            if len(piece) > SHORT:
+                continue
+            found = self.older.get(piece)
+            if found is None:
+                data = piece.encode()
+                at, state, found = self.walk(data)
+                if at < len(data):
+                    rest.append((piece, data, at, state, found))
+                    continue
+                found = packed(found)
+            new[piece] = found
+        if rest:
+            pieces, data, places, states, settled = zip(*rest)
+            new.update((p, packed(e) + ids if e else ids) for p, e, ids in zip(pieces, settled, self.run_all(data, places, states)))
+        if len(self.known) + len(new) > self.limit:
+            self.older, self.known = self.known, {}
+        self.known.update(new)
 
     def number(self, state: tuple) -> int:
         found = self.numbers.get(state)
@@ -273,20 +401,24 @@ class Encoder:
         return found
 
     def encode(self, pieces: list[str]) -> list[int]:
+        return self.joined(pieces).tolist()
+
+    def joined(self, pieces: list[str]) -> np.ndarray:
+        """The ids of all pieces of a text."""
         found = list(map(self.known.get, pieces))
         if None in found:
             at = -1
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
                 found[at] = self.remembered(pieces[at])
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
-    def remembered(self, piece: str) -> tuple[int, ...]:
+    def remembered(self, piece: str) -> bytes:
         """The ids of a piece that is not among those met lately, or was met earlier in this text."""
-        found = self.known.get(piece) or self.older.get(piece) or self.piece(piece.encode())
+        found = self.known.get(piece) or self.older.get(piece) or packed(self.piece(piece.encode()))
         if len(self.known) >= self.limit:
             self.older, self.known = self.known, {}
-        if len(piece) <= 64:
+        if len(piece) <= SHORT:
             self.known[piece] = found
         return found
 
@@ -364,7 +496,9 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iter
     for batch in batches:
         sizes = np.diff(np.frombuffer(batch.column("text").buffers()[1], dtype=np.int32)[batch.column("text").offset :][: len(batch.column("text")) + 1]) if batch.num_rows else np.empty(0, int)
         for part in _portions(batch, sizes):
-            ids = [np.array(encoder.encode(find(text.as_py())), dtype=np.int32) for text in part.column("text")]
+            texts = [find(text.as_py()) for text in part.column("text")]
+            encoder.learn(texts)
+            ids = [encoder.joined(pieces) for pieces in texts]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc_id", "ids"])
