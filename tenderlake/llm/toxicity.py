@@ -237,6 +237,14 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*others, pa.array(score)], names=[c for c in piece.rows.schema.names if c != "text"] + ["score"])
 
 
+def _below(batches: Iterator[pa.RecordBatch], shared, reject: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string()).fill_null("")], names=["text"])
+        scores = [part.column("score").to_numpy() for part in _score(iter([texts]), shared)]
+        if scores:
+            yield batch.filter(pa.array(~(np.concatenate(scores) >= reject)))
+
+
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """One row per row of ``docs``: doc_id, h (hash of the text), score from 0 to 1.
 
@@ -250,7 +258,9 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``reject``. See train and score."""
-    gone = score(docs, train(docs, labels)).filter(F.col("score") >= reject).select(F.col("doc_id").alias("toxic_id"), F.col("h").alias("toxic_h")).distinct()
-    gone = keep(gone, "toxic")
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("toxic_id")) & (F.xxhash64(plain_text()) == F.col("toxic_h")), "left_anti")
+    """The rows of ``docs``, all columns, whose score is below ``reject``. See train and score.
+
+    Rows go past the classifier as they are, so texts are neither shuffled nor read a second time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(partial(_below, shared=shared, reject=reject), docs.schema)
