@@ -87,3 +87,14 @@ def test_a_query_of_one_pass_writes_no_staging(spark, folder):
     assert (spark.sparkContext.applicationId, folder) not in registry._STAGED
     assert tuple(found) == tuple(registry._on_stg(lambda s: registry.profile.profile_outlier_counts(s, value_limit=100_000))(spark, folder).first())
     assert found.acima_limite == 6
+
+
+def test_split_reads_a_snapshot_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text("nucontrato;b\n1;2\n3\n4;5;6\n7;8\n;\n")
+    header = ["nucontrato", "b"]
+    scanned = S.scan_contracts_csv(spark, str(tmp_path / "s"), header, S.Format(known=header))
+    monkeypatch.setattr(registry, "_scanned", lambda *_: (scanned, header))
+    got = registry._split(spark, "")
+    assert sorted(map(tuple, got.collect())) == [("malformada", 2), ("ok", 3)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
