@@ -98,3 +98,17 @@ def test_split_reads_a_snapshot_once(spark, tmp_path, monkeypatch):
     got = registry._split(spark, "")
     assert sorted(map(tuple, got.collect())) == [("malformada", 2), ("ok", 3)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_snapshot_is_written_by_compiled_methods(spark, raw, tmp_path, monkeypatch):
+    """The limit of generated methods holds during the write only."""
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(D, "contracts_from_orders", lambda *_: raw)
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.text", lambda *_, **__: seen.append(spark.conf.get(name)))
+    spark.conf.set(name, "65535")
+    try:
+        D.write_dirty_snapshot(spark, "", str(tmp_path / "s"))
+        assert seen == ["8000"] and spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, before)

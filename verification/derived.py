@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import contract
-from tenderlake.session import new_folder
+from tenderlake.session import compiled_methods, new_folder
 from tenderlake.sources.orders_view import as_text, contracts_from_orders
 
 # Columns a published file has beyond the known ones.
@@ -62,7 +62,8 @@ def write_dirty_snapshot(
     # The row that opens a file brings the header along; the lower 33 bits number the rows of a task.
     first = F.shiftrightunsigned(F.shiftleft(F.monotonically_increasing_id(), 31), 31) % file_rows == 0
     headed = F.when(first, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value"))
-    lines.select(headed.alias("value")).write.options(**_PACKED, maxRecordsPerFile=file_rows).text(path)
+    with compiled_methods(spark):
+        lines.select(headed.alias("value")).write.options(**_PACKED, maxRecordsPerFile=file_rows).text(path)
     return path
 
 
