@@ -10,6 +10,8 @@ looked for in every tree. Only members that share such a shingle with more than
 the trees: a large node branches on CHOICES further tokens, chosen by a hash of the node, so a pair stays
 together in more than one child on average, and its chance of being parted has a bound that holds at
 every depth. Nodes are independent, so their number sets the recall. Every link is confirmed on full sets.
+Sets are made for what the tokens let through only, and a pair's sets are brought together in one of the
+nodes it meets in.
 
 At every step a group has a bound (``LEAF`` classes in a comparison, ``PARTNERS`` members beside a
 pivot), and links of classes that are known to be in one component are not looked for again.
@@ -59,6 +61,8 @@ CELLS = 1 << 20
 OFTEN = 4
 # Bytes of a node's sets as bits; beyond, pairs are compared one by one.
 BITS = 1 << 26
+# Nodes, those of the least numbers, by which members know that they meet in another node as well.
+FIRST_NODES = 16
 # Narrow rows (identifiers) that may be broadcast to the scan of the sets; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -113,24 +117,35 @@ def _token_tables() -> tuple[np.ndarray, np.ndarray]:
     return (random.integers(0, 1 << 32, TOKENS, dtype=np.uint32), random.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
 
 
+def _tokens(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The minwise tokens of sets that lie one behind the other; zeros for an empty set."""
+    flip, factor = _token_tables()
+    some = np.flatnonzero(np.diff(begin))
+    tokens = np.zeros((len(begin) - 1, TOKENS), dtype=np.uint32)
+    if len(some):
+        narrow = (values >> np.uint64(32)).astype(np.uint32)
+        for i in range(TOKENS):
+            tokens[some, i] = np.minimum.reduceat((narrow ^ flip[i]) * factor[i], begin[:-1][some])
+    return tokens
+
+
+def _kept_bits(tokens: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in (tokens & np.uint32(0xFFFF)).astype("<u2")], pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, roots: int = ROOTS) -> Iterator[pa.RecordBatch]:
     """Set size, two hashes of the set, minwise tokens and the nodes below the roots."""
-    flip, factor = _token_tables()
     for piece in W.pieces(batches, "text", W.NOT_SPACE):
         values, begin = W.shingle_sets(piece, n)
         size = np.diff(begin)
         some = np.flatnonzero(size)
         starts = begin[:-1][some]
-        tokens = np.zeros((len(size), TOKENS), dtype=np.uint32)
+        tokens = _tokens(values, begin)
         sums = np.zeros((2, len(size)), dtype=np.uint64)
         if len(some):
-            narrow = (values >> np.uint64(32)).astype(np.uint32)
-            for i in range(TOKENS):
-                tokens[some, i] = np.minimum.reduceat((narrow ^ flip[i]) * factor[i], starts)
             sums[0][some] = np.add.reduceat(W.mix(values), starts)
             sums[1][some] = np.add.reduceat(W.mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
         nodes = W.mix(tokens[:, :roots].astype(np.uint64) * np.uint64(4096) + np.arange(roots, dtype=np.uint64)) if roots else np.zeros((len(size), 1), dtype=np.uint64)
-        bits = (tokens & np.uint32(0xFFFF)).astype("<u2")
         yield pa.RecordBatch.from_arrays(
             [
                 piece.rows.column("doc_id"),
@@ -138,7 +153,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, roots: int = ROOTS) -> It
                 pa.array(size.astype(np.int64)),
                 pa.array(sums[0].view(np.int64)),
                 pa.array(sums[1].view(np.int64)),
-                pa.array([row.tobytes() for row in bits], pa.binary()),
+                _kept_bits(tokens),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, nodes.shape[1], dtype=np.int32)), pa.array(nodes.ravel().view(np.int64))),
             ],
             names=["doc_id", "h", "n", "c1", "c2", "tokens", "nodes"],
@@ -146,44 +161,62 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, roots: int = ROOTS) -> It
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Sets with their tokens, made once more, so that a set is never moved to meet them."""
     for piece in W.pieces(batches, "text", W.NOT_SPACE):
         values, begin = W.shingle_sets(piece, n)
         sets = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([piece.rows.column("rid"), pa.array(sets, pa.binary())], names=["rid", "members"])
+        yield pa.RecordBatch.from_arrays([piece.rows.column("rid"), _kept_bits(_tokens(values, begin)), pa.array(sets, pa.binary())], names=["rid", "tokens", "members"])
 
 
 def _token_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, TOKENS)
 
 
-def _similar(batches: Iterator[pa.RecordBatch], star: bool, least: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by node, what of a node shares enough tokens and is not known to be in one
-    component: with ``star`` the pairs (a, b) with the node's first row, else the members (node, rid)
-    of any such pair."""
+def _node_rows(column: pa.Array) -> np.ndarray:
+    """Lists of nodes as rows of FIRST_NODES; what is missing comes after any node."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    rows = np.full((len(size), FIRST_NODES), np.iinfo(np.int64).max)
+    rows[np.arange(FIRST_NODES) < size[:, None]] = column.flatten().to_numpy()
+    return rows
+
+
+def _meet_before(node: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two rows have a node in common that has a lesser number than this one."""
+    before = np.zeros(len(node), dtype=bool)
+    for i in range(FIRST_NODES):
+        before |= (one[:, i] < node) & (one[:, i, None] == other).any(axis=1)
+    return before
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by node, the members of pairs of a node that share enough tokens and are not known
+    to be in one component; ``first`` is the node's first row if that is the other one of such a pair.
+
+    With a column ``nodes``, the first nodes of each row, a pair counts in the first of these that it meets in."""
     rest: tuple[np.ndarray, ...] | None = None
 
-    def compare(node, rid, comp, tokens):
+    def compare(node, rid, comp, tokens, nodes):
         first = np.concatenate([[True], node[1:] != node[:-1]])
-        meets = np.zeros(len(node), dtype=bool)
+        meets, beside = np.zeros(len(node), dtype=bool), np.zeros(len(node), dtype=bool)
+        pivot = rid[np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))]
         for d in range(1, len(node)):
             at = np.flatnonzero(node[d:] == node[:-d])
             if not len(at):
                 break
-            if star:
-                at = at[first[at]]
             at = at[comp[at] != comp[at + d]]
             at = at[(tokens[at] == tokens[at + d]).sum(axis=1) >= least]
-            if star and len(at):
-                a, b = rid[at], rid[at + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if nodes.shape[1] and len(at):
+                at = at[~_meet_before(node[at], nodes[at], nodes[at + d])]
             meets[at] = meets[at + d] = True
-        if not star:
-            yield pa.RecordBatch.from_arrays([pa.array(node[meets]), pa.array(rid[meets])], names=["node", "rid"])
+            beside[at[first[at]] + d] = True
+        at = np.flatnonzero(meets)
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(rid[at]), pa.array(comp[at]), pa.array(pivot[at], mask=~beside[at])], names=["node", "rid", "comp", "first"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (*[batch.column(c).to_numpy() for c in ("node", "rid", "comp")], _token_rows(batch.column("tokens")))
+        nodes = _node_rows(batch.column("nodes")) if "nodes" in batch.schema.names else np.empty((batch.num_rows, 0), dtype=np.int64)
+        now = (*[batch.column(c).to_numpy() for c in ("node", "rid", "comp")], _token_rows(batch.column("tokens")), nodes)
         now = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
         cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
         rest = tuple(x[cut:] for x in now)
@@ -333,9 +366,10 @@ def components(links: DataFrame) -> DataFrame:
 class _Join:
     """What all levels of the search share: tokens, sets and the components of the links found so far."""
 
-    def __init__(self, reps: DataFrame, sets: DataFrame, percent: int):
-        self.tokens, self.sets, self.percent = reps.select("rid", "tokens"), sets, percent
+    def __init__(self, reps: DataFrame, percent: int):
+        self.tokens, self.percent = reps.select("rid", "tokens"), percent
         self.search = search(percent)
+        self.sets: DataFrame | None = None
         self.comp: DataFrame | None = None
 
     def with_components(self, rows: DataFrame) -> DataFrame:
@@ -344,23 +378,22 @@ class _Join:
             return rows.withColumn("comp", F.col("rid"))
         return rows.join(self.comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
 
-    def by_node(self, rows: DataFrame) -> DataFrame:
-        rows = rows.select("node", "rid", "comp").join(self.tokens, "rid")
-        return rows.repartition("node").sortWithinPartitions("node", "rid")
-
-    def stars(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of the first member of each node of ``rows`` (node, rid, comp), some of them repeated."""
-        return self.by_node(rows).mapInArrow(partial(_similar, star=True, least=self.search.shared), "a bigint, b bigint")
+    def similar(self, rows: DataFrame) -> DataFrame:
+        """The members (node, rid, comp, first) of pairs that share enough tokens, of rows with tokens; see _similar."""
+        rows = rows.repartition("node").sortWithinPartitions("node", "rid")
+        return rows.mapInArrow(partial(_similar, least=self.search.shared), "node bigint, rid bigint, comp bigint, first bigint")
 
     def compare(self, rows: DataFrame) -> None:
-        """Compare the members of each node, of at most LEAF or so, and add the links between components."""
-        meets = keep(self.by_node(rows).mapInArrow(partial(_similar, star=False, least=self.search.shared), "node bigint, rid bigint"), "meets")
+        """Compare the members of each node, of at most LEAF or so, and add the links between components.
+
+        A pair meets in several nodes; its sets are brought together in one of them."""
+        rows = rows.groupBy("rid", "comp").agg(F.array_sort(F.collect_list("node")).alias("all")).join(self.tokens, "rid")
+        rows = rows.select(F.explode("all").alias("node"), "rid", "comp", "tokens", F.slice("all", 1, FIRST_NODES).alias("nodes"))
+        meets = keep(self.similar(rows).drop("first"), "meets")
         number = meets.count()
         if not number:
             return
-        if number <= BROADCAST_ROWS:
-            meets = F.broadcast(meets)
-        full = keep(self.with_components(self.sets.join(meets, "rid").join(self.tokens, "rid")), "meets-sets")
+        full = self.sets.join(F.broadcast(meets) if number <= BROADCAST_ROWS else meets, "rid")
         full = full.repartition("node").sortWithinPartitions("node", "rid")
         self.add(full.mapInArrow(partial(_links_within, percent=self.percent, least=self.search.shared), "a bigint, b bigint"))
 
@@ -548,18 +581,23 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     rows = reps.select(F.explode("nodes").alias("node"), "rid")
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = keep(rows.join(keep(shared, "nodes"), "node").withColumn("comp", F.col("rid")), "members")
-    wanted = keep(reps.join(rows.select("rid").distinct(), "rid").select("rid", F.col("doc_id").alias("id"), F.col("h").alias("hash")), "wanted")
+    small, large = rows.filter(f"n <= {LEAF}"), rows.filter(f"n > {LEAF}")
+    has_large = not large.isEmpty()
+
+    # Only what shares enough tokens with another class, or is in a large node, gets a full set.
+    join = _Join(reps, percent)
+    met = keep(join.similar(small.select("node", "rid", "comp").join(join.tokens, "rid")), "met")
+    wanted = met.select("rid").unionByName(large.select("rid")).distinct()
+    wanted = keep(reps.join(wanted, "rid").select("rid", F.col("doc_id").alias("id"), F.col("h").alias("hash")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).select("rid", "text")
     if _has_repeats(sketch):
         texts = texts.dropDuplicates(["rid"])
-    join = _Join(reps, keep(texts.mapInArrow(partial(_sets, n=shingle), "rid bigint, members binary"), "sets"), percent)
+    join.sets = keep(texts.mapInArrow(partial(_sets, n=shingle), "rid bigint, tokens binary, members binary"), "sets")
 
-    small, large = rows.filter(f"n <= {LEAF}"), rows.filter(f"n > {LEAF}")
-    has_large = not large.isEmpty()
-    pairs = join.stars(small)
+    pairs = met.filter("first is not null").select(F.least("first", "rid").alias("a"), F.greatest("first", "rid").alias("b"))
     join.confirm(pairs.unionByName(join.central(large)) if has_large else pairs)
-    small = _live(join.with_components(small)).select("node", "rid", "comp")
+    small = _live(join.with_components(met.drop("first"))).select("node", "rid", "comp")
     if has_large:
         small = small.unionByName(join.below(_live(join.with_components(large))))
     join.compare(small)

@@ -124,6 +124,30 @@ def test_links_within_a_node():
     assert near_dedup._bits([x for x in np.arange(9, dtype=np.uint64).reshape(9, 1)]).sum() == 0
 
 
+def test_near_groups_move_few_sets(spark, monkeypatch):
+    """Texts just under the threshold meet in most nodes, and are compared once; a shared passage needs no sets."""
+    words = lambda k: [f"w{k}_{i}" for i in range(100)]
+    rows = [(k, " ".join(words(k))) for k in range(20)]
+    rows += [(100 + k, " ".join(["x", *words(k)[1:30], "y", *words(k)[31:60], "z", *words(k)[61:]])) for k in range(20)]
+    rows += [(200 + k, " ".join(words("shared")[:20] + words(200 + k))) for k in range(20)]
+    counts, keep = {}, near_dedup.keep
+
+    def counted(df, purpose):
+        out = keep(df, purpose)
+        counts[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k for k, _ in rows}
+    assert counts["meets"] <= 40 and counts["sets"] <= 40
+    node, rid = [1, 1, 2, 2, 3, 3], [7, 8, 7, 8, 8, 9]
+    columns = [pa.array(node), pa.array(rid), pa.array(rid), pa.array([bytes(2 * near_dedup.TOKENS)] * 6, pa.binary()), pa.array([{7: [1, 2], 8: [1, 2, 3], 9: [3]}[r] for r in rid])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["node", "rid", "comp", "tokens", "nodes"])
+    found = [row for b in near_dedup._similar(iter([batch]), 64) for row in b.to_pylist()]
+    assert [(r["node"], r["rid"], r["first"]) for r in found] == [(1, 7, None), (1, 8, 7), (3, 8, None), (3, 9, 8)]
+
+
 def test_near_groups_follow_percent(spark):
     for percent in (95, 85, 80, 70, 50):
         found = near_dedup.search(percent)
