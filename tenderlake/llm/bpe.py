@@ -430,8 +430,10 @@ class Decoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.moves = moves
         self.table: dict[tuple[bytes, int], tuple[bytes, bytes]] = {}
-        # Moves from no open bytes back to none.
-        self.closed = {rank: token for rank, token in self.tokens.items() if not self.split(token)[1] and token[0] & 0xC0 != 0x80}
+        # By rank: the token, and whether it moves from no open bytes back to none.
+        by_rank = [self.tokens.get(rank) for rank in range(max(self.tokens, default=-1) + 1)]
+        self.column = pa.array(by_rank, pa.binary())
+        self.closed = np.array([token is not None and not self.split(token)[1] and token[0] & 0xC0 != 0x80 for token in by_rank], dtype=bool)
         self.open = b""
 
     @staticmethod
@@ -447,13 +449,29 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> bytes:
         """The bytes of the characters that these ids complete."""
-        ids = list(ids)
-        if not self.open:
-            whole = list(map(self.closed.get, ids))
-            if None not in whole:
-                return b"".join(whole)
-        table, tokens, state, out = self.table, self.tokens, self.open, []
-        for i in ids:
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), dtype=np.int64)
+        unknown = ids[(ids < 0) | (ids >= len(self.closed))]
+        if len(unknown):
+            raise KeyError(int(unknown[0]))
+        if not len(ids):
+            return b""
+        found = self.column.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError(int(ids[found.is_null().to_numpy(zero_copy_only=False)][0]))
+        data = memoryview(found.buffers()[2])
+        begin = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset :][: len(ids) + 1]
+        # Runs of closed tokens leave as they stand; the others, and what follows open bytes, move one by one.
+        others = np.append(np.flatnonzero(~self.closed[ids]), len(ids)).tolist()
+        table, tokens, state, out, at, k = self.table, self.tokens, self.open, [], 0, 0
+        while at < len(ids):
+            if not state:
+                while others[k] < at:
+                    k += 1
+                if others[k] > at:
+                    out.append(data[begin[at] : begin[others[k]]])
+                    at = others[k]
+                    continue
+            i = int(ids[at])
             move = table.get((state, i))
             if move is None:
                 if len(table) > self.moves:
@@ -461,6 +479,7 @@ class Decoder:
                 move = table[state, i] = self.split(state + tokens[i])
             done, state = move
             out.append(done)
+            at += 1
         self.open = state
         return b"".join(out)
 
@@ -508,7 +527,9 @@ def _decode(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.Record
     decoder = _decoder(ranks)
     for batch in batches:
         for part in _portions(batch, batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)):
-            out = [decoder.feed(ids.values.tolist()) + decoder.close() for ids in part.column("ids")]
+            sizes = part.column("ids").value_lengths().to_numpy(zero_copy_only=False)
+            ids = np.split(part.column("ids").flatten().to_numpy(), np.cumsum(sizes)[:-1]) if len(sizes) else []
+            out = [decoder.feed(x) + decoder.close() for x in ids]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
 

@@ -274,6 +274,20 @@ def test_bpe(docs):
             assert [encoder.bytes_of[i] for i in encoder.run(piece)] == list(bpe.merge(encoder.ranks, piece))
 
 
+def test_decoder_moves_at_open_bytes_only():
+    """Runs of tokens that end no character midway are taken from the column of tokens at once."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"\xc3\xa9": 258}
+    decoder = bpe.Decoder(ranks)
+    ids = np.array([97, 256, 258, 0xC3, 0xA9, 98, 256, 0xE2, 0x82], dtype=np.int32)
+    assert decoder.feed(ids) == "aabéébab".encode()
+    assert set(decoder.table) == {(b"", 0xC3), (b"\xc3", 0xA9), (b"", 0xE2), (b"\xe2", 0x82)}
+    assert decoder.feed([0xAC, 97]) + decoder.close() == "€a".encode()
+    assert decoder.feed([]) == b""
+    for unknown in (257, 259, -1):
+        with pytest.raises(KeyError):
+            decoder.feed([97, unknown])
+
+
 def test_bpe_of_rare_pieces(monkeypatch):
     """Pieces without kept moves are not run one by one."""
     import public_tokenizers
