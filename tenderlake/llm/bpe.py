@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm.store import id_column, plain_text
 
-# Moves and pieces a task keeps before it starts its tables anew.
-MOVES = 100_000
-PIECES = 250_000
+# Moves and pieces a Python worker keeps before it starts its tables anew; pieces are kept twice that long.
+MOVES = 50_000
+PIECES = 125_000
 # Times a move is wanted before it is kept; characters of a piece that runs beside others and is remembered.
 WANTED = 8
 SHORT = 64
@@ -39,6 +39,8 @@ SHORT = 64
 PAIRS = 1 << 20
 # Token ids in a batch that goes back to Spark, unless one text has more.
 BATCH_IDS = 1 << 20
+# Bases looked at together while the children of a trie's nodes are placed.
+WINDOW = 1024
 # Beyond any rank.
 NEVER = 1 << 62
 # The state before any byte: no token emitted, none open.
@@ -62,6 +64,63 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> tuple[bytes, ...]:
     return tuple(parts)
 
 
+def trie(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trie of all tokens as a double array: base, parent, token and depth by node, the root being 0.
+
+    A byte leads from a node to the place base + byte if that place's parent is the node. Children of
+    several nodes stand between each other, so there are hardly more places than nodes. A base of 0
+    has no children (no node stands below 256 but the root); a token of -1 is none.
+    """
+    below: dict[int, int] = {}
+    ends, depth = [-1], [0]
+    for token, rank in ranks.items():
+        node = 0
+        for byte in token:
+            after = below.get(node << 8 | byte)
+            if after is None:
+                after = below[node << 8 | byte] = len(ends)
+                ends.append(-1)
+                depth.append(depth[node] + 1)
+            node = after
+        ends[node] = rank
+    moves = np.array(sorted(below), dtype=np.int64)
+    after = np.array([below[move] for move in moves.tolist()], dtype=np.int64)
+    node, byte = moves >> 8, moves & 255
+    opened, first, number = np.unique(node, return_index=True, return_counts=True)
+    base = np.zeros(len(ends), dtype=np.int64)
+    free = np.ones(256 + 2 * len(ends), dtype=bool)
+    free[:256] = False
+    # Nodes of many children first, at the first base that has room for all of them; the search goes on where it ended.
+    low = 1
+    for i in np.argsort(-number, kind="stable")[: int((number > 1).sum())].tolist():
+        own = byte[first[i] : first[i] + number[i]].tolist()
+        while True:
+            if low + WINDOW + 256 > len(free):
+                free = np.append(free, np.ones(len(free), dtype=bool))
+            room = free[low + own[0] : low + own[0] + WINDOW].copy()
+            for b in own[1:]:
+                room &= free[low + b : low + b + WINDOW]
+            at = int(room.argmax())
+            if room[at]:
+                break
+            low += WINDOW
+        base[opened[i]] = low + at
+        free[[low + at + b for b in own]] = False
+    # A single child takes any place that is left.
+    single = first[number == 1]
+    left = np.flatnonzero(free)
+    if len(left) < len(single):
+        left = np.append(left, np.arange(len(free), len(free) + len(single) - len(left)))
+    base[node[single]] = left[: len(single)] - byte[single]
+    place = np.zeros(len(ends), dtype=np.int64)
+    place[after] = base[node] + byte
+    out = tuple(np.full(int(max(base.max(), place.max())) + 256, none, dtype=np.int32) for none in (0, -1, -1, 0))
+    for column, values in zip((out[0], out[2], out[3]), (base, ends, depth)):
+        column[place] = values
+    out[1][place[after]] = place[node]
+    return out
+
+
 def packed(ids: Iterable[int]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -72,29 +131,10 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], moves: int = MOVES, pieces: int = PIECES):
         self.ranks, self.moves, self.limit = ranks, moves, pieces
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        # The trie: children of a node by byte, and the token that ends in it.
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int | None] = [None]
-        self.depth = [0]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                after = self.children[node].get(byte)
-                if after is None:
-                    after = self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.token.append(None)
-                    self.depth.append(self.depth[node] + 1)
-                node = after
-            self.token[node] = rank
-        # The same trie in arrays, for pieces that run side by side: a row of 256 children per node that has any.
-        self.trie_token = np.array([-1 if t is None else t for t in self.token])
-        self.trie_open = np.array([bool(below) for below in self.children])
-        self.trie_row = np.cumsum(self.trie_open) - 1
-        self.trie_after = np.full(256 * int(self.trie_open.sum()), -1, dtype=np.int32)
-        moves = [(node, byte, after) for node, below in enumerate(self.children) for byte, after in below.items()]
-        node, byte, after = np.array(moves, dtype=np.int64).reshape(-1, 3).T
-        self.trie_after[self.trie_row[node] << 8 | byte] = after
+        # The trie, in arrays by node: where its children stand, its parent, the token that ends in it and how
+        # deep it lies. The same for single moves, of which Python reads one number at a time.
+        self.trie_base, self.trie_parent, self.trie_token, self.trie_depth = trie(ranks)
+        self.base, self.parent, self.token, self.depth = (array("i", x.tobytes()) for x in (self.trie_base, self.trie_parent, self.trie_token, self.trie_depth))
         # Two tokens whose joint bytes are a token, and that token.
         joints = sorted((a << 32 | b, rank) for token, rank in ranks.items() for a, b in ((ranks.get(token[:k]), ranks.get(token[k:])) for k in range(1, len(token))) if a is not None and b is not None)
         self.joints, self.joint_ranks = np.array(joints, dtype=np.int64).reshape(-1, 2).T.copy()
@@ -167,16 +207,16 @@ class Encoder:
     def advance(self, state: tuple | list, byte: int) -> tuple[list, tuple[int, ...]]:
         """The hypotheses that are live after a byte, and the ids that are settled by it."""
         live, ended = [], None
-        children, tokens = self.children, self.token
+        base, parent, tokens = self.base, self.parent, self.token
         for held, node in state:
-            after = children[node].get(byte)
-            if after is None:
+            after = base[node] + byte
+            if parent[after] != node:
                 continue
-            if children[after]:
+            if base[after]:
                 live.append((held, after))
             if ended is None:  # a text has one encoding, so one hypothesis at most ends a token here
                 token = tokens[after]
-                if token is not None:
+                if token >= 0:
                     fits = self.beside.get((held[-1], token))
                     if self.may_stand(held[-1], token) if fits is None else fits:
                         ended = (*held, token)
@@ -232,7 +272,7 @@ class Encoder:
         after the other, and of the tokens that a hypothesis may go on with the longest is followed
         first. A text has one encoding, so no place of the piece is come to twice.
         """
-        size, beside, children, tokens = len(piece), self.beside, self.children, self.token
+        size, beside, base, parent, tokens = len(piece), self.beside, self.base, self.parent, self.token
         for held, node in state:
             if k == size and not node:
                 return (*emitted, *held[1:])
@@ -241,11 +281,11 @@ class Encoder:
                 # The tokens that end behind this place: ends and ids, the longest last.
                 ends = []
                 for stop in range(at, size):
-                    node = children[node].get(piece[stop])
-                    if node is None:
+                    after = base[node] + piece[stop]
+                    if parent[after] != node:
                         break
-                    token = tokens[node]
-                    if token is not None:
+                    node, token = after, tokens[after]
+                    if token >= 0:
                         ends.append((stop + 1, token))
                 left.append(ends)
                 while left:
@@ -338,15 +378,15 @@ class Encoder:
         # Of the prefix that ends with a byte: the token that ends its encoding, and where that begins.
         ends, begins = np.full(len(data), -1), np.zeros(len(data), dtype=np.int64)
         while len(row):
-            after = self.trie_after[self.trie_row[node] << 8 | data[begin[row] + at]]
-            goes = np.flatnonzero(after >= 0)
+            after = self.trie_base[node] + data[begin[row] + at]
+            goes = np.flatnonzero(self.trie_parent[after] == node)
             row, before, start, at, node = row[goes], before[goes], start[goes], at[goes] + 1, after[goes]
-            token = self.trie_token[node]
+            token = self.trie_token[node].astype(np.int64)
             whole = np.flatnonzero(token >= 0)
             whole = whole[self.fit(before[whole], token[whole])]
             byte = begin[row[whole]] + at[whole] - 1
             ends[byte], begins[byte] = token[whole], start[whole]
-            stays = np.flatnonzero(self.trie_open[node])
+            stays = np.flatnonzero(self.trie_base[node])
             row, before, start, at, node = (
                 np.concatenate([x[stays], y])
                 for x, y in ((row, row[whole]), (before, token[whole]), (start, at[whole]), (at, at[whole]), (node, np.zeros(len(whole), dtype=np.int64)))

@@ -308,6 +308,36 @@ def test_bpe_of_rare_pieces(monkeypatch):
         assert [encoder.encode(x) for x in pieces] == [known.encode_ordinary(text) for text in texts]
 
 
+def test_bpe_tables_are_small():
+    """A worker's arrays hold no row of 256 places for each node of the trie."""
+    import public_tokenizers
+
+    encoder = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    assert sum(x.nbytes for x in vars(encoder).values() if isinstance(x, np.ndarray)) < 20_000_000
+
+
+def test_trie_leads_along_tokens_only():
+    rng = random.Random(8)
+    some = {bytes(rng.choice(b"\x00\x01ab\xff") for _ in range(rng.randrange(2, 7))) for _ in range(400)}
+    for tokens in ([], [b"a"], [bytes([b]) for b in range(256)], [*(bytes([b]) for b in range(256)), *sorted(some), *(b"ab" + bytes([b]) for b in range(0, 256, 3))]):
+        ranks = {token: rank for rank, token in enumerate(dict.fromkeys(tokens))}
+        base, parent, token, depth = bpe.trie(ranks)
+        prefixes = {t[:k] for t in ranks for k in range(len(t) + 1)} | {b""}
+        assert (parent >= 0).sum() == len(prefixes) - 1
+        at, todo = {b"": 0}, [b""]
+        while todo:
+            prefix = todo.pop()
+            node = at[prefix]
+            assert (token[node], depth[node]) == (ranks.get(prefix, -1), len(prefix))
+            for byte in range(256):
+                after, longer = int(base[node]) + byte, prefix + bytes([byte])
+                assert (parent[after] == node) == (longer in prefixes)
+                if parent[after] == node:
+                    at[longer] = after
+                    todo.append(longer)
+        assert len(set(at.values())) == len(prefixes) == len(at)
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(5000)}"
