@@ -2,11 +2,15 @@
 
 import datetime as dt
 import gzip
+import os
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tenderlake import contract
+from tenderlake.session import materialize
 from tenderlake.sources import snapshots as S
 from tenderlake.sources import tables as T
 from tenderlake.sources.orders_view import contracts_from_orders
@@ -112,3 +116,68 @@ def test_snapshot_is_written_by_compiled_methods(spark, raw, tmp_path, monkeypat
         assert seen == ["8000"] and spark.conf.get(name) == "65535"
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.fixture
+def shuffling(spark):
+    """Nothing is broadcast, so that every join shuffles."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    yield
+    spark.conf.set(limit, before)
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {n for n in (blocks.apply(i).name() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+
+def left_behind(spark, work):
+    """The shuffle files that are there after the work and were not before."""
+    before = shuffle_files(spark)
+    work()
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    return left
+
+
+@pytest.mark.parametrize(
+    "write",
+    [
+        lambda spark, folder: registry.staged(spark, folder),
+        lambda spark, folder: registry.kept_contracts(spark, folder),
+        lambda spark, folder: D.write_dirty_snapshot(spark, folder),
+        lambda spark, folder: D.write_archive(contracts_from_orders(spark, folder), f"{folder}/archive", ";", "UTF-8", D.EXTRA),
+        lambda spark, folder: T.promote_snapshot(contracts_from_orders(spark, folder), f"{folder}/base", "v1"),
+        lambda spark, folder: materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()),
+    ],
+)
+def test_a_write_leaves_no_shuffle_files(spark, folder, shuffling, write):
+    assert left_behind(spark, lambda: write(spark, folder)) == set()
+
+
+def test_lines_meet_parts_before_orders(spark, folder, shuffling):
+    plan = contracts_from_orders(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    below = re.search(r"hashpartitioning\(l_orderkey[^\n]*\n([^\n]*)", plan).group(1)
+    assert "p_name" in below and "s_name" not in below
+
+
+@pytest.mark.parametrize("name", ["validate_header", "promote_snapshot"])
+def test_a_query_that_writes_contracts_twice_joins_once(spark, folder, monkeypatch, name):
+    joined, archives = [], []
+    derive, write = registry.contracts_from_orders, D.write_archive
+    monkeypatch.setattr(registry, "contracts_from_orders", lambda *a: joined.append(a) or derive(*a))
+    monkeypatch.setattr(D, "write_archive", lambda df, path, *a: archives.append(path) or write(df, path, *a))
+    got = registry.QUERIES[name](spark, folder).collect()
+    assert len(joined) == 1
+    if name == "validate_header":
+        assert sorted((r.cenario, r.motivo, r.qt_linhas) for r in got) == [
+            ("sem_nucontrato", "missing columns: nucontrato", 6), ("superset", None, 6),
+        ]
+        assert len(archives) == 2 and not any(os.path.exists(path) for path in archives)
+    else:
+        assert [(r.cod_unidade_gestora, r.qt_contratos) for r in got] == [("000001", 6)]
