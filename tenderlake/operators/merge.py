@@ -25,12 +25,20 @@ def merge_latest(
     """Upsert by key, the last write wins; merging the same rows again changes nothing.
 
     An incoming row wins a tie on recency. Rows of one side that tie are told apart by their content,
-    so the outcome is always the same.
+    so the outcome is always the same. Each side is brought down to one row per key on its own, and the
+    sides are compared where that leaves them: a side that an earlier merge made is not shuffled again,
+    and incoming rows that are merged twice are shuffled once.
     """
-    both = current.withColumn("_incoming", F.lit(False)).unionByName(incoming.withColumn("_incoming", F.lit(True)))
+    kinds = current.unionByName(incoming).schema
+    latest = [F.col(c).desc_nulls_last() for c in recency]
     content = F.xxhash64(*sorted(current.columns))
-    order = [*[F.col(c).desc_nulls_last() for c in recency], F.col("_incoming").desc(), content.asc()]
-    return best_per_key(both, key, order).drop("_incoming")
+
+    def best(side: DataFrame) -> DataFrame:
+        rows = side.select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+        return best_per_key(rows, key, [*latest, content.asc()])
+
+    both = best(current).withColumn("_incoming", F.lit(False)).unionByName(best(incoming).withColumn("_incoming", F.lit(True)))
+    return best_per_key(both, key, [*latest, F.col("_incoming").desc()]).drop("_incoming")
 
 
 def source_precedence_merge(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlake import contract
+from tenderlake.operators import merge
 from tenderlake.session import materialize
 from tenderlake.sources import snapshots as S
 from tenderlake.sources import tables as T
@@ -181,3 +182,14 @@ def test_a_query_that_writes_contracts_twice_joins_once(spark, folder, monkeypat
         assert len(archives) == 2 and not any(os.path.exists(path) for path in archives)
     else:
         assert [(r.cod_unidade_gestora, r.qt_contratos) for r in got] == [("000001", 6)]
+
+
+def test_rows_merged_twice_are_shuffled_once(spark, tmp_path):
+    columns = "k string, v int, at int"
+    spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 5), (None, 3, 1), (None, 4, None)], columns).write.parquet(f"{tmp_path}/old")
+    spark.createDataFrame([("a", 7, 2), ("a", 8, 1), ("b", 9, 4), ("c", 6, None), (None, 5, 1)], columns).write.parquet(f"{tmp_path}/new")
+    old, new = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("old", "new"))
+    merged = merge.merge_latest(merge.merge_latest(old, new, ["k"], ["at"]), new, ["k"], ["at"])
+    assert {tuple(r) for r in merged.collect()} == {("a", 7, 2), ("b", 1, 5), ("c", 6, None), (None, 5, 1)}
+    final = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
