@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tenderlake import contract
@@ -184,6 +185,13 @@ def test_a_query_that_writes_contracts_twice_joins_once(spark, folder, monkeypat
         assert [(r.cod_unidade_gestora, r.qt_contratos) for r in got] == [("000001", 6)]
 
 
+@pytest.mark.parametrize("name", ["check_unique", "check_not_null", "check_accepted_values"])
+def test_checks_are_taken_table_by_table(spark, folder, name):
+    report = registry.QUERIES[name](spark, folder)
+    assert "Exchange" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {r.status for r in report.collect()} <= {"ok", "erro", "aviso"}
+
+
 def test_rows_merged_twice_are_shuffled_once(spark, tmp_path):
     columns = "k string, v int, at int"
     spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 5), (None, 3, 1), (None, 4, None)], columns).write.parquet(f"{tmp_path}/old")
@@ -193,3 +201,19 @@ def test_rows_merged_twice_are_shuffled_once(spark, tmp_path):
     assert {tuple(r) for r in merged.collect()} == {("a", 7, 2), ("b", 1, 5), ("c", 6, None), (None, 5, 1)}
     final = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
+
+
+def test_rows_land_by_compiled_methods(spark, tmp_path, monkeypatch):
+    """Limit of generated methods during each write of an ingest, and after it."""
+    name, seen, write = "spark.sql.codegen.hugeMethodLimit", {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path, *a, **k: seen.update({path: spark.conf.get(name)}) or write(w, path, *a, **k))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "f.csv").write_text("a;b\n1;2\n3\n")
+        T.ingest_snapshot(spark, str(tmp_path / "in"), str(tmp_path / "out"), "v1", S.Format(known=["a", "b"]))
+        assert {seen[p] for p in seen if "/landed/" in p or "/versions/" in p} == {"8000"}
+        assert spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, before)
