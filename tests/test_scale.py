@@ -170,12 +170,14 @@ def test_names_cross_no_shuffle_of_lines(spark, folder, shuffling):
 
 @pytest.mark.parametrize("name", ["validate_header", "promote_snapshot"])
 def test_a_query_that_writes_contracts_twice_joins_once(spark, folder, monkeypatch, name):
-    joined, archives = [], []
-    derive, write = registry.contracts_from_orders, D.write_archive
+    joined, archives, published = [], [], []
+    derive, write, publish = registry.contracts_from_orders, D.write_archive, T.promote_snapshot
     monkeypatch.setattr(registry, "contracts_from_orders", lambda *a: joined.append(a) or derive(*a))
     monkeypatch.setattr(D, "write_archive", lambda df, path, *a: archives.append(path) or write(df, path, *a))
+    monkeypatch.setattr(T, "promote_snapshot", lambda df, *a: published.append(df) or publish(df, *a))
     got = registry.QUERIES[name](spark, folder).collect()
     assert len(joined) == 1
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in published)
     if name == "validate_header":
         assert sorted((r.cenario, r.motivo, r.qt_linhas) for r in got) == [
             ("sem_nucontrato", "missing columns: nucontrato", 6), ("superset", None, 6),
